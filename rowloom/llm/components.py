@@ -1,0 +1,41 @@
+"""Connected components of a table of links, without bringing links to the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rowloom.llm.common import cut
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(v, root) for each vertex of links(a, b), root the smallest vertex it reaches.
+
+    Large-star and small-star steps in turn: each links every vertex to the least neighbour known,
+    until nothing changes, which takes a number of rounds that grows as a logarithm. A step needs a
+    minimum for each vertex and a join, so a vertex with very many links is never gathered: the
+    minimum combines before the shuffle and a skewed join is split.
+    """
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: neighbours above a vertex move to its least neighbour
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: neighbours below a vertex, and itself, move to the least of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        edges = cut(
+            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(low.select("u", F.col("m").alias("v")))
+            .where("u <> v")
+            .distinct()
+        )
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if now == last:
+            break
+        last = now
+    return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v"), F.col("v").alias("root")).distinct()
+    )

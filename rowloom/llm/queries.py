@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from rowloom.llm.bpe import op6_bpe
 from rowloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from rowloom.llm.minhash import op4_minhash
+from rowloom.llm.mixing import OP1_SQL, op1_mixing
 from rowloom.llm.pii import OP9_SQL, op9_pii
+from rowloom.llm.token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op9_pii)}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op9_pii": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_minhash, op5_exact_dedup, op6_bpe, op9_pii)}
+ORACLES = {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_pii": OP9_SQL}
