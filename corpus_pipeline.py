@@ -1,5 +1,70 @@
-"""placeholder"""
-STAGES = []
+"""A corpus from documents: rejected, copied and near-copied documents go, sources are mixed, texts are tokens.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each as Parquet into the shared
+checkpoint folder and reads it back, so that a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom.llm import bpe, exact_dedup, minhash, mixing, quality
+from rowloom.llm.common import ascii_lower, checkpoint_folder
+from rowloom.sources.tables import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking accepts. It is fitted on the labelled rows of docs, all folds."""
+    ranking = quality.learn(docs, table(spark, sf_dir, "labels"), "quality", lambda _: F.lit(True))
+    return quality.score(docs.select(*COLUMNS, F.col("text").alias("_scored")), ranking, "_scored").where("score >= 0.5").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest doc_id."""
+    kept = exact_dedup.content_runs(docs, keep="min").where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
+    named = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    return named.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows as came, on average, of sources in shares by their sizes to the power 0.5."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with the digests of ids and of decoded bytes."""
+    import public_tokenizers
+
+    return bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", accept_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("tokens", tokenize),
+]
+
+#: The classifier and signatures have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
