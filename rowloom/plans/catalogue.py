@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rowloom.plans import audit_queries, line_queries, network_queries, raster_queries, table_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = line_queries.QUERIES | network_queries.QUERIES | raster_queries.QUERIES | table_queries.QUERIES | audit_queries.QUERIES
+ORACLES = line_queries.ORACLES | network_queries.ORACLES | raster_queries.ORACLES | table_queries.ORACLES | audit_queries.ORACLES
