@@ -48,7 +48,7 @@ def v_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """(fragment_id, x0, y0, x1, y1): rows cut in three with gaps of 1, 2, 7 or 9."""
-    rows = v_rows(spark, sf).where("row_id < 400")
+    rows = v_rows(spark, sf)
     n = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     f = rows.select("*", n.alias("n"))
     gap = F.when(F.col("row_id") % 4 == 0, 9.0).when(F.col("row_id") % 4 == 1, 2.0).when(F.col("row_id") % 4 == 2, 1.0).otherwise(7.0)
@@ -64,10 +64,10 @@ def v_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """(row, col, p): a raster of 50 by 100 pixels, the largest discount of each cell times ten."""
-    items = table(spark, sf, "lineitem").where("l_suppkey % 7 = 0")
-    cell = items.select((F.col("l_quantity").cast("int") - 1).alias("row"), (F.col("l_partkey") % 100).cast("int").alias("col"), F.col("l_discount"))
-    return cell.groupBy("row", "col").agg((F.min("l_discount") * 10).alias("p"))
+    """(row, col, p): a sparse raster of 50 rows, a column for each part, the largest discount of each cell times ten."""
+    items = table(spark, sf, "lineitem")
+    cell = items.select((F.col("l_quantity").cast("int") - 1).alias("row"), F.col("l_partkey").cast("int").alias("col"), F.col("l_discount"))
+    return cell.groupBy("row", "col").agg((F.max("l_discount") * 10).alias("p"))
 
 
 def v_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,9 +116,9 @@ SQL = {
         floor(p_partkey / 2) * 1.98::DOUBLE + (p_partkey % 2) * 0.74::DOUBLE + (p_size % 3) * 0.02::DOUBLE AS y0 FROM part)""",
     "v_fragments": """SELECT row_id * 3 + n AS fragment_id, x0 + n * (12.0::DOUBLE + gap) AS x0, row_id * 5.0::DOUBLE + n * ((row_id % 6) * 0.04::DOUBLE) AS y0,
         x0 + n * (12.0::DOUBLE + gap) + 12.0::DOUBLE AS x1, row_id * 5.0::DOUBLE + n * ((row_id % 6) * 0.04::DOUBLE) AS y1
-        FROM (SELECT *, unnest([0, 1, 2]) AS n, (CASE row_id % 4 WHEN 0 THEN 9.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 7.0 END)::DOUBLE AS gap FROM v_rows WHERE row_id < 400)""",
+        FROM (SELECT *, unnest([0, 1, 2]) AS n, (CASE row_id % 4 WHEN 0 THEN 9.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 7.0 END)::DOUBLE AS gap FROM v_rows)""",
     "v_points": "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label % 2 AS grp FROM embeddings",
-    "v_pixels": """SELECT l_quantity::INT - 1 AS row, (l_partkey % 100)::INT AS col, min(l_discount) * 10 AS p FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY ALL""",
+    "v_pixels": """SELECT l_quantity::INT - 1 AS row, l_partkey::INT AS col, max(l_discount) * 10 AS p FROM lineitem GROUP BY 1, 2""",
     "v_scores": "SELECT round(l_discount * 1000)::BIGINT AS p, (l_returnflag = 'R')::INT AS y FROM lineitem",
     "v_pred": "SELECT toxic::INT AS pred, quality::INT AS target FROM labels",
     "v_tiles": """SELECT r * 100 + c AS tile_id, r AS row_off, c AS col_off, 20 AS size, (r // 20) * 5 + c // 20 AS group_id
