@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.durable import checkpoint_folder, cut, partitions, written
+from rowloom.operators.graph import connected_components
+
+__all__ = ["CHUNK_BYTES", "LOWER", "UPPER", "ascii_lower", "checkpoint_folder", "connected_components", "cut", "partitions", "salted_lookup", "written"]
+
 #: Longest passage of text, in bytes, that a kernel works on at once (a longer document is a passage of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -15,25 +17,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is named (tests)."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowloom-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back: a lost executor loses none of it."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(text: Column) -> Column:
     """text with only A-Z lower-cased.
 

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut
-from rowloom.llm.components import components
+from rowloom.llm.common import connected_components, cut, written
 from rowloom.llm.textkernel import column_bytes, mix, passages, text_sets
 from rowloom.sources.tables import table
 
@@ -31,6 +31,8 @@ PER_CHUNK = SYMBOLS // CHUNKS
 #: Signatures within this many symbols always meet; those beyond FAR are not confirmed: at a
 #: similarity of 0.85 a pair is further apart than FAR with a probability of about 1e-8.
 DISTANCE, FAR = 2 * CHUNKS - 1, 18
+#: Pairs of different components in one key, for each set, below which all that is left is compared.
+PAIRS_A_SET = 16
 _seeds = np.random.default_rng(85).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64)
 _TIMES, _PLUS = _seeds[0] * np.uint64(2) + np.uint64(1), _seeds[1]
 
@@ -87,23 +89,27 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def similar(percent: int):
-    """A kernel over (a, b, text_a, text_b): the rows whose sets have that similarity."""
+    """A kernel over (a, b, z_a, z_b): the rows whose sets have that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            sides = [column_bytes(batch.column(i))[1] for i in (2, 3)]
-            for a, b in passages(sides[0] + sides[1]):
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
                 sets = []
                 for i in (2, 3):
-                    ((_, _, shingles, offsets),) = text_sets(batch.column(i).slice(a, b - a), WORDS, 1 << 62)
-                    sets.append((shingles, offsets))
-                (s, p), (t, q) = sets
-                linked = np.zeros(b - a, bool)
-                for r in range(b - a):
-                    x, y = s[p[r] : p[r + 1]], t[q[r] : q[r + 1]]
+                    # a pair's sides repeat: each text of a batch is unpacked and cut once
+                    z = part.column(i).dictionary_encode()
+                    whole = pa.array([press.decompress(x.as_py()) for x in z.dictionary], pa.binary()).cast(pa.large_string())
+                    ((_, _, shingles, offsets),) = text_sets(whole, WORDS, 1 << 62)
+                    sets.append((shingles, offsets, z.indices.to_pylist()))
+                (s, p, u), (t, q, v) = sets
+                linked = []
+                for i, j in zip(u, v, strict=True):
+                    x, y = s[p[i] : p[i + 1]], t[q[j] : q[j + 1]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked[r] = len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a).filter(pa.array(linked)) for c in batch.columns[:2]], ["a", "b"])
+                    linked.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in part.columns[:2]], ["a", "b"])
 
     return run
 
@@ -120,76 +126,93 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     if percent < 85:
         raise ValueError("the signature distances hold from a similarity of 85 % on")
     rows = cut(signatures(docs, text, id_col))
-    sets = cut(
-        rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    )  # a set is named by f1, 64 bits of its content
-    n_sets = sets.count()
+    # a set is named by f1, 64 bits of its content
+    sets = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    enough = PAIRS_A_SET * sets.count() + 1000
     keys = sets.select(F.col("f1").alias("c"), _keys(F.col("sig")).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = cut(keys.join(shared.select("key"), "key").select("key", "c"))
-    root = member.select("c").distinct().withColumns({"root": F.col("c"), "weight": F.lit(1).cast("long")})
-    used = None
-    pairs_done = None
-    links = None
-    texts = None
+    met = member.select("c").distinct()
+    wanted = met.join(sets.select(F.col("f1").alias("c"), "id"), "c").select("id").distinct()
+    texts = written(packed(docs, text, id_col).join(wanted, "id", "left_semi"))
+    root = cut(met.select("c", F.col("c").alias("root"), F.lit(1).cast("long").alias("weight")))
+    used = compared = None
     while True:
         placed = member.join(root, "c")
         mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         placed = placed.join(mixed, "key")
         if used is not None:
-            placed = placed.join(used.withColumn("was_hub", F.lit(True)), ["key", "c"], "left").where("was_hub IS NULL").drop("was_hub")
+            placed = placed.join(used, ["key", "c"], "left_anti")
         placed = cut(placed)
         by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        left = by_root.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left")).agg(F.sum("left")).first()[0]
+        open_ = by_root.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))
+        left = open_.agg(F.sum("twice")).first()[0] or 0
         if not left:
             break
-        x, y = placed.alias("x"), placed.alias("y")
-        if left <= 4 * n_sets + 1000:
+        last = left <= 2 * enough
+        if last:
+            x, y = placed.alias("x"), placed.alias("y")
             pairs = x.join(y, "key").where("x.root <> y.root AND x.c < y.c").select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-            last = True
         else:
-            hubs = cut(placed.groupBy("key").agg(F.max_by(F.struct("c", "root"), F.struct("weight", F.col("c"))).alias("hub")).select("key", F.col("hub.c").alias("hub"), F.col("hub.root").alias("hub_root")))
+            hub = F.max_by(F.struct("c", "root"), F.struct("weight", F.col("c"))).alias("hub")
+            hubs = cut(placed.groupBy("key").agg(hub).select("key", F.col("hub.c").alias("hub"), F.col("hub.root").alias("hub_root")))
             pairs = placed.join(hubs, "key").where("root <> hub_root").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b"))
             now = hubs.select("key", F.col("hub").alias("c"))
             used = now if used is None else cut(used.unionByName(now))
-            last = False
         pairs = pairs.distinct()
-        if pairs_done is not None:
-            pairs = pairs.join(pairs_done, ["a", "b"], "left_anti")
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        pairs_done = pairs if pairs_done is None else cut(pairs_done.unionByName(pairs))
-        s, t = sets.alias("s"), sets.alias("t")
-        likely = (
-            pairs.join(s, F.col("a") == F.col("s.f1"))
-            .join(t, F.col("b") == F.col("t.f1"))
-            .where("s.n * 100 >= t.n * 85 AND t.n * 100 >= s.n * 85")
-            .where(_differing(F.col("s.sig"), F.col("t.sig")) <= FAR)
-            .select("a", "b", F.col("s.id").alias("id_a"), F.col("t.id").alias("id_b"))
-        )
-        likely = cut(likely)
-        wanted = likely.select(F.col("id_a").alias("id")).unionByName(likely.select(F.col("id_b").alias("id"))).distinct()
-        # texts by identifier: the same shuffled rows serve both sides of a pair
-        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
-        whole = (
-            likely.join(texts.withColumnRenamed("id", "id_b").withColumnRenamed("text", "text_b"), "id_b")
-            .join(texts.withColumnRenamed("id", "id_a").withColumnRenamed("text", "text_a"), "id_a")
-            .select("a", "b", "text_a", "text_b")
-        )
-        found = cut(whole.mapInArrow(similar(percent), "a long, b long").distinct())
-        links = found if links is None else cut(links.unionByName(found))
-        grown = components(links)
-        root = member.select("c").distinct().join(grown, F.col("c") == F.col("v"), "left").select("c", F.coalesce("root", "c").alias("root"))
-        sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
-        root = cut(root.join(sizes, "root"))
+        compared = pairs if compared is None else cut(compared.unionByName(pairs))
+        found = _linked(pairs, sets, texts, percent)
+        ends = found.join(root.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b")
+        grown = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("root", "to")
+        moved = root.join(grown, F.col("root") == F.col("v"), "left").select("c", F.coalesce("to", "root").alias("root"))
         if last:
+            root = cut(moved)
             break
+        moved = cut(moved)
+        root = cut(moved.join(moved.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "root").select("c", "root", "weight"))
     named = sets.select("n", "f1", "f2", F.col("id").alias("own")).join(root.select(F.col("c").alias("f1"), "root"), "f1", "left")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("least"))
     named = named.join(least, "root", "left").select("n", "f1", "f2", F.coalesce("least", "own").alias("least"))
-    # of the sets only those with more than one row need looking up, and those linked to another
     return _answer(rows, named, id_col)
 
 
+def packed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, z): each text compressed, as texts move more than once."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            buf, at = column_bytes(batch.column(1))
+            for a, b in passages(at):
+                z = [press.compress(buf[at[i] : at[i + 1]].tobytes()) for i in range(a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(z, pa.binary())], ["id", "z"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, z binary")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity holds, by whole sets; signatures rule out most others first."""
+    s, t = sets.alias("s"), sets.alias("t")
+    likely = (
+        pairs.join(s, F.col("a") == F.col("s.f1"))
+        .join(t, F.col("b") == F.col("t.f1"))
+        .where("s.n * 100 >= t.n * 85 AND t.n * 100 >= s.n * 85")
+        .where(_differing(F.col("s.sig"), F.col("t.sig")) <= FAR)
+        .select("a", "b", F.col("s.id").alias("id_a"), F.col("t.id").alias("id_b"))
+    )
+    whole = (
+        cut(likely)
+        .join(texts.select(F.col("id").alias("id_b"), F.col("z").alias("z_b")), "id_b")
+        .join(texts.select(F.col("id").alias("id_a"), F.col("z").alias("z_a")), "id_a")
+        .select("a", "b", "z_a", "z_b")
+    )
+    return cut(whole.mapInArrow(similar(percent), "a long, b long").distinct())
+
+
 def _answer(rows: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
     salts = 64
     mine = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
