@@ -6,10 +6,9 @@ principle, a chunk with at most one wrong symbol: so a key for each chunk and ea
 out (the one error allowed) makes every such pair meet. At the similarity of 0.85 a pair differs
 in 4.8 symbols on average; it meets nowhere with a probability of about 2e-8.
 
-Documents of one set are one vertex. Within a key only links between different components matter,
-so members are compared with one hub at a time, the hub of each round coming from the largest
-component not used up, until what is left to compare is in proportion to the input; then all of
-that is compared. No member of a key is skipped. Links are confirmed on whole sets.
+Documents of one set are one vertex. The sets of a key with few of them are paired; sets of keys with
+many are compared in tiles of two blocks each, whose kernel keeps pairs to itself and gives out links
+that connect what is connected. No member of a key is skipped. Links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ PER_CHUNK = SYMBOLS // CHUNKS
 #: Signatures within this many symbols always meet; those beyond FAR are not confirmed: at a
 #: similarity of 0.85 a pair is further apart than FAR with a probability of about 1e-8.
 DISTANCE, FAR = 2 * CHUNKS - 1, 18
-#: Pairs of different components in one key, for each set, below which all that is left is compared.
-PAIRS_A_SET = 16
+#: Keys of more sets than FEW are compared in tiles of blocks of at most about so many shingles and sets.
+FEW, BLOCK_SHINGLES, BLOCK_SETS = 64, 400_000, 512
 _seeds = np.random.default_rng(85).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64)
 _TIMES, _PLUS = _seeds[0] * np.uint64(2) + np.uint64(1), _seeds[1]
 
@@ -128,57 +127,126 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rows = cut(signatures(docs, text, id_col))
     # a set is named by f1, 64 bits of its content
     sets = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    enough = PAIRS_A_SET * sets.count() + 1000
     keys = sets.select(F.col("f1").alias("c"), _keys(F.col("sig")).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = cut(keys.join(shared.select("key"), "key").select("key", "c"))
-    met = member.select("c").distinct()
-    wanted = met.join(sets.select(F.col("f1").alias("c"), "id"), "c").select("id").distinct()
+    sized = cut(keys.join(shared, "key").select("key", "c", "size"))
+    wanted = sized.select("c").distinct().join(sets.select(F.col("f1").alias("c"), "id"), "c").select("id").distinct()
     texts = written(packed(docs, text, id_col).join(wanted, "id", "left_semi"))
-    root = cut(met.select("c", F.col("c").alias("root"), F.lit(1).cast("long").alias("weight")))
-    used = compared = None
-    while True:
-        placed = member.join(root, "c")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = placed.join(mixed, "key")
-        if used is not None:
-            placed = placed.join(used, ["key", "c"], "left_anti")
-        placed = cut(placed)
-        by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_ = by_root.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))
-        left = open_.agg(F.sum("twice")).first()[0] or 0
-        if not left:
-            break
-        last = left <= 2 * enough
-        if last:
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, "key").where("x.root <> y.root AND x.c < y.c").select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-        else:
-            hub = F.max_by(F.struct("c", "root"), F.struct("weight", F.col("c"))).alias("hub")
-            hubs = cut(placed.groupBy("key").agg(hub).select("key", F.col("hub.c").alias("hub"), F.col("hub.root").alias("hub_root")))
-            pairs = placed.join(hubs, "key").where("root <> hub_root").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b"))
-            now = hubs.select("key", F.col("hub").alias("c"))
-            used = now if used is None else cut(used.unionByName(now))
-        pairs = pairs.distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        compared = pairs if compared is None else cut(compared.unionByName(pairs))
-        found = _linked(pairs, sets, texts, percent)
-        ends = found.join(root.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b")
-        grown = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("root", "to")
-        moved = root.join(grown, F.col("root") == F.col("v"), "left").select("c", F.coalesce("to", "root").alias("root"))
-        if last:
-            root = cut(moved)
-            break
-        moved = cut(moved)
-        root = cut(moved.join(moved.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "root").select("c", "root", "weight"))
+    few = sized.where(F.col("size") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, "key").where("x.c < y.c").select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    links = _linked(pairs, sets, texts, percent).unionByName(_tiled(sized.where(F.col("size") > FEW), sets, texts, percent))
+    root = cut(connected_components(cut(links)).withColumnRenamed("v", "c"))
     named = sets.select("n", "f1", "f2", F.col("id").alias("own")).join(root.select(F.col("c").alias("f1"), "root"), "f1", "left")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("least"))
     named = named.join(least, "root", "left").select("n", "f1", "f2", F.coalesce("least", "own").alias("least"))
     return _answer(rows, named, id_col)
 
 
+def _tiled(crowded: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is connected among the sets of keys (key, c, size) with many sets.
+
+    Sets chained by such keys form a group, dealt to blocks of bounded size by a hash; each pair of
+    blocks is a tile, whose kernel compares all its sets at once and gives out a spanning forest. A
+    group's sets are sent once for each of its blocks, and no pair leaves a tile.
+    """
+    stars = crowded.groupBy("key").agg(F.min("c").alias("a")).join(crowded.select("key", F.col("c").alias("b")), "key").select("a", "b")
+    group = cut(connected_components(stars.distinct()).select(F.col("v").alias("f1"), F.col("root").alias("grp")))
+    placed = group.join(sets.select("f1", "n", "id"), "f1")
+    size = placed.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    dealt = placed.join(size, "grp").withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "f1", "block", "id")
+    sent = tiles.join(texts, "id").select("tile", "f1", "block", "z")
+    return sent.repartition("tile").sortWithinPartitions("tile").mapInArrow(forests(percent), "a long, b long")
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The matrix of which sets have that similarity: frequent members by products, rare ones by pairs."""
+    d = len(sets)
+    size = np.array([len(x) for x in sets])
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(d), size)
+    times = np.bincount(name)
+    both = np.zeros((d, d), np.float32)
+    often = np.flatnonzero(times >= 32)
+    column = np.full(len(times), -1)
+    column[often] = np.arange(len(often))
+    for a in range(0, len(often), 4096):
+        dense = np.zeros((d, min(4096, len(often) - a)), np.float32)
+        at = np.flatnonzero((column[name] >= a) & (column[name] < a + 4096))
+        dense[owner[at], column[name[at]] - a] = 1
+        both += dense @ dense.T
+    rare = np.flatnonzero((times[name] > 1) & (times[name] < 32))
+    rare = rare[np.argsort(name[rare], kind="stable")]
+    n, o = name[rare], owner[rare]
+    flat = both.ravel()
+    for k in range(1, 32):  # members k places apart in the list of one shingle
+        if len(n) <= k:
+            break
+        hit = n[k:] == n[:-k]
+        i, j = o[:-k][hit], o[k:][hit]
+        if not len(i):
+            break
+        flat += np.bincount(np.concatenate((i * d + j, j * d + i)), minlength=d * d).astype(np.float32)
+    both = flat.reshape(d, d)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a symmetric matrix."""
+    new, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not new[start]:
+            continue
+        new[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            for to in np.flatnonzero(linked[at] & new).tolist():
+                new[to] = False
+                out.append((at, to))
+                todo.append(to)
+    return out
+
+
+def forests(percent: int):
+    """A kernel over (tile, f1, block, z) sorted by tile: the links of each tile's spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+
+        def work(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            names = t["f1"].to_numpy()
+            sets = []
+            for z in t["z"]:
+                whole = pa.array([press.decompress(z.as_py())], pa.binary()).cast(pa.large_string())
+                ((_, _, shingles, _),) = text_sets(whole, WORDS, 1 << 62)
+                sets.append(shingles)
+            some = [i for i, x in enumerate(sets) if len(x)]
+            forest = spanning(linked_pairs([sets[i] for i in some], percent)) if some else []
+            names = names[some]
+            return pa.RecordBatch.from_arrays([pa.array([int(names[i]) for i, _ in forest], pa.int64()), pa.array([int(names[j]) for _, j in forest], pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            tile = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tile[a] != last:
+                    yield work(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+                    last = tile[a]
+        if held:
+            yield work(held)
+
+    return run
+
+
 def packed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """(id, z): each text compressed, as texts move more than once."""
     kind = docs.schema[id_col].dataType.simpleString()
