@@ -81,10 +81,12 @@ def v_pred(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """(tile_id, row_off, col_off, size, group_id): tiles of 20 over the pixels, step 10."""
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(30), F.lit(10))).alias("row_off"))
-    grid = grid.select("row_off", F.explode(F.sequence(F.lit(0), F.lit(80), F.lit(10))).alias("col_off"))
-    return grid.select((F.col("row_off") * 100 + F.col("col_off")).alias("tile_id"), "row_off", "col_off", F.lit(20).alias("size"), (F.floor(F.col("row_off") / 20) * 5 + F.floor(F.col("col_off") / 20)).alias("group_id"))
+    """(tile_id, row_off, col_off, size, group_id): tiles of 20 over the pixels, step 10, a column for each part."""
+    columns = table(spark, sf, "part").agg((F.max("p_partkey") + 1).cast("int").alias("n_cols"))
+    grid = columns.select("n_cols", F.explode(F.sequence(F.lit(0), F.lit(30), F.lit(10))).alias("row_off"))
+    grid = grid.select("row_off", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 20, F.lit(10))).alias("col_off"))
+    group = F.floor(F.col("row_off") / 20) * 100000 + F.floor(F.col("col_off") / 20)
+    return grid.select((F.col("row_off").cast("long") * 100000 + F.col("col_off")).alias("tile_id"), "row_off", "col_off", F.lit(20).alias("size"), group.alias("group_id"))
 
 
 def v_inputs(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,8 +123,8 @@ SQL = {
     "v_pixels": """SELECT l_quantity::INT - 1 AS row, l_partkey::INT AS col, max(l_discount) * 10 AS p FROM lineitem GROUP BY 1, 2""",
     "v_scores": "SELECT round(l_discount * 1000)::BIGINT AS p, (l_returnflag = 'R')::INT AS y FROM lineitem",
     "v_pred": "SELECT toxic::INT AS pred, quality::INT AS target FROM labels",
-    "v_tiles": """SELECT r * 100 + c AS tile_id, r AS row_off, c AS col_off, 20 AS size, (r // 20) * 5 + c // 20 AS group_id
-        FROM (SELECT unnest(range(0, 31, 10)) AS r), (SELECT unnest(range(0, 81, 10)) AS c)""",
+    "v_tiles": """SELECT r::BIGINT * 100000 + c AS tile_id, r::INT AS row_off, c::INT AS col_off, 20 AS size, r // 20 * 100000 + c // 20 AS group_id
+        FROM (SELECT unnest(range(0, 31, 10)) AS r), (SELECT unnest(range(0, max(p_partkey) + 1 - 20 + 1, 10)) AS c FROM part)""",
     "v_inputs": "SELECT c_custkey AS input_id, c_nationkey, c_mktsegment, round(c_acctbal * 100)::BIGINT AS n_lines FROM customer",
     "v_lineage": """SELECT conv_id AS line_id, conv_id % 20 AS grp, CASE conv_id % 3 WHEN 0 THEN '["' || b || '","' || a || '","' || b || '"]' WHEN 1 THEN b || ' , ' || a ELSE a END AS ids
         FROM (SELECT conv_id, 'raw_' || (conv_id % 50)::VARCHAR AS a, 'raw_' || (max(turn) + 3)::VARCHAR AS b FROM conversations GROUP BY conv_id)""",
