@@ -35,6 +35,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns that later projections read and do not repeat.
+
+    Catalyst inlines a projection into the next; a long expression that is read many times there
+    would outgrow a compiled method. Going through a one-element explode keeps it in its own step.
+    """
+    for c in columns:
+        df = df.withColumn(c, F.explode(F.array(c)))
+    return df
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with a column that counts its rows from 0 in an order, which must be total.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.scalar import angle_difference, axial_bearing, point_segment_distance, turn_degrees
 from rowloom.operators import graph, spatial
-from rowloom.operators.durable import cut, numbered
+from rowloom.operators.durable import cut, numbered, settled
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def track_links(fragments: DataFrame, max_gap: float = 6.0, max_angle: float = 8
     ends = lambda s: F.array(F.struct(F.col(f"{s}.x0").alias("x"), F.col(f"{s}.y0").alias("y")), F.struct(F.col(f"{s}.x1").alias("x"), F.col(f"{s}.y1").alias("y")))
     q = p.select("l", "r", ends("l").alias("le"), ends("r").alias("re"))
     four = [F.struct(F.hypot(F.col("re")[b]["x"] - F.col("le")[a]["x"], F.col("re")[b]["y"] - F.col("le")[a]["y"]).alias("gap"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]
-    q = q.withColumn("m", F.least(*four))
+    q = settled(q.withColumn("m", F.least(*four)), "m")
     def out(s: str, at: Column) -> tuple[Column, Column]:
         sign = F.when(at == 0, -1.0).otherwise(1.0)
         return sign * (F.col(f"{s}.x1") - F.col(f"{s}.x0")), sign * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
@@ -204,6 +204,7 @@ def track_links(fragments: DataFrame, max_gap: float = 6.0, max_angle: float = 8
     cx, cy = F.col("re")[F.col("m.b")]["x"] - F.col("le")[F.col("m.a")]["x"], F.col("re")[F.col("m.b")]["y"] - F.col("le")[F.col("m.a")]["y"]
     first, second = turn_degrees(*out("l", F.col("m.a")), cx, cy), turn_degrees(*out("r", F.col("m.b")), -cx, -cy)
     bearing = lambda s: axial_bearing(F.col(f"{s}.x1") - F.col(f"{s}.x0"), F.col(f"{s}.y1") - F.col(f"{s}.y0"))
+    q = q.where(F.col("m.gap") <= max_gap)
     q = q.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("m.gap").alias("gap"), first.alias("p"), second.alias("q"), angle_difference(bearing("l"), bearing("r")).alias("turn"))
     lateral = F.col("gap") * F.sin(F.radians(F.least("p", "q")))
     ok = (F.col("gap") > 1e-9) & (F.col("gap") <= max_gap) & (F.col("p") <= max_connector) & (F.col("q") <= max_connector) & (F.col("turn") <= max_angle)

@@ -26,4 +26,6 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
     """The events table as a stream, with a watermark of an hour."""
     schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withWatermark("ts", "1 hour")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    # a watermark needs an instant; results go back to the table's plain time
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
