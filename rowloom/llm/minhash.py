@@ -162,7 +162,7 @@ def _tiled(crowded: DataFrame, sets: DataFrame, texts: DataFrame, percent: int)
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The matrix of which sets have that similarity: frequent members by products, rare ones by pairs."""
+    """The matrix, off its diagonal, of which sets have that similarity: frequent members by products, rare ones by pairs."""
     d = len(sets)
     size = np.array([len(x) for x in sets])
     _, name = np.unique(np.concatenate(sets), return_inverse=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowloom.sources.tables import table
 
-#: Characters on each side of a match that are searched for context words.
+#: Characters on each side of a match that are searched for context words, up to the kind's neighbouring match.
 NEAR = 40
 #: Spans outside the base set need this score.
 THRESHOLD = 0.6
