@@ -235,10 +235,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     """(id, y, text) of at most bound labelled rows, of both labels in their proportion, picked by a hash.
 
     Rows where learn(id) does not hold are never read for their label. At most bound identifiers are
-    broadcast. Of repeated labels of an identifier the largest counts.
+    broadcast. Of repeated labels of an identifier the largest counts. Rows of docs that share an
+    identifier all come; what is gathered from them is bounded again.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     known = known.where(learn(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    return found.select("id", "y", "text").limit(2 * bound)
+    return found.select("id", "y", "text")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.llm.common import written
 from rowloom.llm.features import TOXIC_NAMES, Lexicon, labelled_sample, map_passages, remainder, tokens, toxic_features, word_keys
 from rowloom.llm.textkernel import column_bytes, passages
 from rowloom.sources.tables import table
@@ -149,18 +150,18 @@ def lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(top["key"].to_numpy(np.int64).view(np.uint64), top["odds"].to_numpy(float))
 
 
-def _measured(sample: DataFrame, words: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+def _measured(sample: DataFrame, words: Lexicon, bound: int) -> tuple[np.ndarray, np.ndarray]:
     made = map_passages(sample, lambda buf, at: {"x": pa.array(list(toxic_features(buf, at, words)), pa.list_(pa.float64()))}, "x array<double>")
-    got = made.orderBy("id", F.xxhash64("x")).toPandas()
+    got = made.orderBy("id", F.xxhash64("x")).limit(2 * bound).toPandas()
     return np.array(got["x"].tolist(), float).reshape(len(got), len(TOXIC_NAMES)), got["y"].to_numpy(float)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, rows: Callable[[Column], Column], sample: int = SAMPLE, text: str = "text", id_col: str = "doc_id") -> Model:
     """A model fitted on at most sample labelled rows; only their features and word counts reach the driver."""
-    picked = labelled_sample(docs, labels, label, sample, rows, text, id_col)
-    halves = [picked.where(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == F.lit(0)) for k in (3,)] + [picked.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == 1)]
+    picked = written(labelled_sample(docs, labels, label, sample, rows, text, id_col))  # read many times
+    halves = [picked.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == half) for half in (0, 1)]
     words = [lexicon(h) for h in halves]
-    (xa, ya), (xb, yb) = _measured(halves[0], words[1]), _measured(halves[1], words[0])
+    (xa, ya), (xb, yb) = _measured(halves[0], words[1], sample), _measured(halves[1], words[0], sample)
     apart = np.concatenate([grow(xb, yb).margins(xa), grow(xa, ya).margins(xb)])
     return Model(lexicon(picked), grow(np.concatenate([xa, xb]), np.concatenate([ya, yb])), isotonic(apart, np.concatenate([ya, yb])))
 
