@@ -165,7 +165,7 @@ ORACLES = {
     ),
     "pixel_orientation_transfer": with_views(
         f"""WITH {_SAMPLES.format(5.0)}, b AS (SELECT row, col, (col + 0.5::DOUBLE) * 0.025::DOUBLE AS x, (row + 0.5::DOUBLE) * 40.0::DOUBLE AS y FROM v_pixels WHERE p >= {HIGH}),
-        n AS (SELECT b.row, b.col, arg_min({{'a': x1 - x0, 'b': y1 - y0}}, {{'d': sqrt((b.x - sp.x) ** 2 + (b.y - sp.y) ** 2), 'i': row_id * 100 + k}}) AS v FROM b JOIN sp ON sp.y BETWEEN b.y - 40 AND b.y + 40 GROUP BY b.row, b.col)
+        n AS (SELECT b.row, b.col, arg_min({{'a': x1 - x0, 'b': y1 - y0}}, {{'d': sqrt((b.x - sp.x) ** 2 + (b.y - sp.y) ** 2), 'i': row_id * 100 + k}}) AS v FROM b, sp GROUP BY b.row, b.col)
         SELECT row, col, {_r('sin(2 * atan2(v.b, v.a))', 'sin2')}, {_r('cos(2 * atan2(v.b, v.a))', 'cos2')} FROM n""",
         "v_rows", "v_pixels",
     ),
