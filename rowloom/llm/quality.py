@@ -86,7 +86,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, rows: Callable[[Column
     """A ranking fitted on at most sample labelled rows; only their features reach the driver."""
     picked = labelled_sample(docs, labels, label, sample, rows, text, id_col)
     measured = map_passages(picked, lambda buf, at: {"x": pa.array(list(quality_features(buf, at)), pa.list_(pa.float64()))}, "x array<double>")
-    got = measured.orderBy("id", F.xxhash64("x")).toPandas()
+    got = measured.orderBy("id", F.xxhash64("x")).limit(2 * sample).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(QUALITY_NAMES))
     return fit(x, got["y"].to_numpy(int))
 
