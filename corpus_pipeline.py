@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import bpe, exact_dedup, minhash, mixing, quality
@@ -24,17 +24,32 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs.select(*COLUMNS, F.col("text").alias("_scored")), ranking, "_scored").where("score >= 0.5").select(*COLUMNS)
 
 
+def _name(digest: Column) -> Column:
+    """What a row is named by: a struct, which equals itself with a null inside; null identifiers come last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest doc_id."""
-    kept = exact_dedup.content_runs(docs, keep="min").where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
-    named = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    return named.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
+    """Of equal texts (after lower-casing A-Z; null is empty) one row, that with the smallest doc_id.
+
+    A null doc_id loses to any other; a text that has no other stays, with it. Rows that share a doc_id
+    but not their text are judged each by its own; of repeated rows one stays.
+    """
+    kept = exact_dedup.content_runs(docs, keep="min").where("kept").select(_name(F.col("text_sha256")).alias("_name"))
+    named = docs.withColumn("_name", _name(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)))
+    return named.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates one row, that with the smallest doc_id, then text digest.
+
+    A null doc_id loses to any other, and is linked like any other; texts without words are linked with
+    nothing and stay. Rows that share a doc_id but not their text are judged each by its own; repeated
+    rows, of one doc_id and text, are one.
+    """
+    named = docs.withColumn("_name", _name(F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))))
+    kept = minhash.near_duplicates(named, id_col="_name").where("kept").select("_name")
+    return named.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     component_id is the smallest identifier reachable over links of sets with that similarity; kept
     marks the row with that identifier. A document without words is linked with nothing and kept.
-    Identifiers are integers; rows that share one and their set are kept together, and a null
+    Identifiers are integers or structs; rows that share one and their set are kept together, and a null
     identifier has a null component and is kept. An empty table gives an empty result; other columns
     are not read.
     """
