@@ -8,6 +8,11 @@ reversed left sides of an anchor's occurrences are sorted as suffixes, deep-shal
 bytes with a multikey sort, then ties by blind tries. The neighbours' common prefixes of both orders
 tell, for each way to lay a window over the anchor, which occurrences agree on all of it.
 
+An anchor with very many occurrences is found in a sample of the texts and dealt out (halved): the
+lengths left of the anchor are halved again and again; for one part of them, only occurrences that
+agree on the bytes common to all its windows stay together, and those that agree on all its bytes are
+settled and go on as one. What is down to FEW occurrences is sorted in a task like any other.
+
 Equal texts are one text with a count: if it has LENGTH bytes, all of it goes. Windows that repeat in
 one text, as in runs of one word, are found there, so that only the first of them is sent.
 """
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import cut, salted_lookup
@@ -29,6 +34,8 @@ from rowloom.sources.tables import table
 LENGTH, GRAM = 400, 32
 REACH = LENGTH - GRAM
 SHALLOW = 64
+#: One text in SAMPLE is looked at for anchors with more than HOT occurrences; they are split until a task sorts at most FEW at once.
+SAMPLE, HOT, FEW = 64, 16_384, 4096
 
 
 # --- deep-shallow sort ---------------------------------------------------------------------------
@@ -223,17 +230,17 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text, hs) to (h, tid, anchor, offset, context): the bytes of the windows of the anchors in hs."""
+def _contexts(batches: Iterator[pa.RecordBatch], fixed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(tid, text, hs) to (h, tid, anchor, offset, context): the bytes of the windows of the anchors in hs, or in fixed."""
     for batch in batches:
         buf, at = column_bytes(batch.column(1))
-        wanted = batch.column(2)
+        wanted = batch.column(2) if fixed is None else None
         for a, b in passages(at):
             hashes, owners, anchors, offsets, contexts = [], [], [], [], []
             for i in range(a, b):
                 text = buf[at[i] : at[i + 1]]
                 w = Windows(text)
-                again = np.flatnonzero(np.isin(w.hash.view(np.int64), np.asarray(wanted[i].values)))
+                again = np.flatnonzero(np.isin(w.hash.view(np.int64), np.asarray(wanted[i].values) if fixed is None else fixed))
                 hashes.append(w.hash.view(np.int64)[again])
                 owners.append(np.full(len(again), i))
                 anchors.append(w.anchor[again])
@@ -325,23 +332,89 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["tid", *out])
 
 
+OCCURRENCE = "h long, tid binary, anchor long, offset long, context binary"
+
+
+def sorted_ranges(occurrences: DataFrame) -> DataFrame:
+    """(tid, lo, hi): what the occurrences of each h remove, sorted in the task of h."""
+    return occurrences.repartition("h").sortWithinPartitions("h").mapInArrow(_ranges, "tid binary, lo long, hi long")
+
+
+def hot_anchors(rows: DataFrame) -> DataFrame:
+    """(h): anchor hashes with more than HOT occurrences in different texts, by a sample of the texts (tid, text)."""
+    few = rows.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLE)) == 0).groupBy("tid").agg(F.first("text").alias("text"))
+    counts = few.mapInArrow(_anchors, "h long, tid binary, times long").groupBy("h").agg(F.sum("times").alias("times"))
+    return cut(counts.where(F.col("times") > HOT // SAMPLE).select("h"))
+
+
+def _digest(data: Column, *parts: str) -> Column:
+    name = F.concat_ws(":", *[F.col(p).cast("string") for p in parts], F.lit(""))
+    return F.unhex(F.substring(F.sha2(F.concat(F.encode(name, "utf-8"), data), 256), 1, 32))
+
+
+def _part(rows: DataFrame, least: Column, most: Column) -> DataFrame:
+    """Occurrences cut to the windows with least to most bytes left of the anchor; those without one go."""
+    lo = F.greatest(least, F.col("offset") + LENGTH - F.length("context"))
+    hi = F.least(most, F.col("offset"))
+    cut_to = rows.select("h", "tid", "anchor", "offset", "context", least.alias("least"), most.alias("most"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    context = F.col("context").substr((F.col("offset") - F.col("hi") + 1).cast("int"), (F.col("hi") + LENGTH - F.col("lo")).cast("int"))
+    return cut_to.select("h", "tid", "anchor", F.col("hi").cast("long").alias("offset"), context.alias("context"), "least", "most")
+
+
+def halved(occurrences: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Removed ranges (tid, lo, hi) of occurrences (h, tid, anchor, offset, context) of hot anchors, and what is
+    left to be sorted: groups, named by h, of at most FEW occurrences.
+
+    A part's core is what all its windows share. Occurrences with different cores have no equal window in
+    the part. Of those with equal bytes all windows are equal: each is settled, and one goes on for the
+    others to meet. A part of one window is its core, so that at most ten rounds are needed.
+    """
+    settled, groups = [], []
+    state = _part(occurrences, F.lit(0), F.lit(REACH))
+    while True:
+        core = F.col("context").substr((F.col("offset") - F.col("least") + 1).cast("int"), F.lit(LENGTH) + F.col("least") - F.col("most"))
+        rows = cut(state.withColumn("core", _digest(core, "h", "least", "most")).withColumn("all", _digest(F.col("context"), "h", "least", "most", "offset")))
+        if rows.isEmpty():
+            return settled, groups
+        one = F.struct("h", "tid", "anchor", "offset", "context", "least", "most", "core")
+        heads = cut(rows.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.first(one).alias("one")))
+        equal = salted_lookup(rows.select("all", "tid", "anchor", "offset", F.length("context").alias("size")), heads.where("n > 1").select("all", "n"), "all")
+        start = F.col("anchor") - F.col("offset")
+        settled.append(cut(equal.where("n IS NOT NULL").select("tid", start.alias("lo"), (start + F.col("size")).alias("hi"))))
+        distinct = heads.select("one.*")
+        met = cut(salted_lookup(distinct, distinct.groupBy("core").agg(F.count(F.lit(1)).alias("m")), "core").where("m > 1"))
+        groups.append(met.where(F.col("m") <= FEW).select(F.xxhash64("core").alias("h"), "tid", "anchor", "offset", "context"))
+        many = met.where(F.col("m") > FEW)
+        middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+        state = _part(many, F.col("least"), middle).unionByName(_part(many, middle + 1, F.col("most")))
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
     Texts are judged as they are given, not by what is left of them; null counts as empty; texts below
     LENGTH bytes lose nothing; repeated rows count as elsewhere; other columns are not read. A text is
     named by the first 16 bytes of its SHA-256. A text's own ranges, which its length bounds, are all
-    that is gathered by text; an anchor's occurrences are gathered by its hash.
+    that is gathered by text; an anchor's occurrences are gathered by its hash, unless it is hot.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = rows.withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     ids = cut(named.select("id", "tid"))
+    hot = hot_anchors(named.select("tid", "text"))
+    hot_hashes = np.array([r.h for r in hot.collect()], np.int64)  # one for each HOT occurrences at most
     texts = named.groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     anchors = texts.mapInArrow(_anchors, "h long, tid binary, times long")
     again = anchors.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
+    if len(hot_hashes):
+        again = again.join(F.broadcast(hot), "h", "left_anti")
     wanted = anchors.select("h", "tid").join(again, "h").groupBy("tid").agg(F.collect_list("h").alias("hs"))
-    occurrences = texts.join(wanted, "tid").select("tid", "text", "hs").mapInArrow(_contexts, "h long, tid binary, anchor long, offset long, context binary")
-    ranges = occurrences.repartition("h").sortWithinPartitions("h").mapInArrow(_ranges, "tid binary, lo long, hi long")
+    occurrences = texts.join(wanted, "tid").select("tid", "text", "hs").mapInArrow(_contexts, OCCURRENCE)
+    ranges = sorted_ranges(occurrences)
+    if len(hot_hashes):
+        found = named.select("tid", "text").mapInArrow(lambda batches: _contexts(batches, hot_hashes), OCCURRENCE)
+        settled, groups = halved(found.dropDuplicates(["tid", "anchor", "offset"]))
+        for part in [*settled, *map(sorted_ranges, groups)]:
+            ranges = ranges.unionByName(part)
     by_text = ranges.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     none = F.array().cast("array<struct<lo:long,hi:long>>")
     done = texts.join(by_text, "tid", "left").select("tid", "text", "copies", F.coalesce("ranges", none).alias("ranges"))

@@ -165,3 +165,44 @@ def test_deep_shallow_sort_orders_rows_and_gives_common_prefixes():
             while g == h and k < min(len(a), len(b)) and a[k] == b[k]:
                 k += 1
             assert c == k
+
+
+def brute_passages(raw):
+    count = {}
+    for b in raw:
+        for p in range(len(b) - 399):
+            count[b[p : p + 400]] = count.get(b[p : p + 400], 0) + 1
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        out.append((len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return out
+
+
+def test_passages_of_hot_anchors_are_split(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = " ".join(words(rng, 130))[:800]
+    t = [" ".join(words(rng, 12)) + shared + " ".join(words(rng, 12)) for _ in range(12)]
+    # near the edges of the passage, few bytes on one side are common to few texts
+    t += [" ".join(words(rng, 20)) + shared[k : k + 390 + k % 60] + " ".join(words(rng, 20)) for k in range(0, 380, 19)]
+    t += [shared[:600], shared[:600], "hello " * 90, "so hello " * 2 + "hello " * 66, shared[100:500], None, ""]
+    sizes = []
+    plain = suffix_dedup.halved
+
+    def spied(occurrences):
+        settled, groups = plain(occurrences)
+        whole = occurrences.groupBy("h").count().agg({"count": "max"}).first()[0]
+        sizes.append((whole, max([r["count"] for g in groups for r in g.groupBy("h").count().collect()], default=0)))
+        return settled, groups
+
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "FEW", 3)
+    monkeypatch.setattr(suffix_dedup, "halved", spied)
+    got = {r.doc_id: r for r in suffix_dedup.repeated_passages(frame(spark, t)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) for i in range(len(t))] == brute_passages([(x or "").encode() for x in t])
+    # before, all occurrences of an anchor were sorted in one task
+    assert sizes[0][0] > 12 and sizes[0][1] <= 3
