@@ -44,6 +44,14 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", None, "iban|bank|account|konto|cuenta|compte", 0.7, 0.2, False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", "ssn|social security", 0.3, 0.5, False),
 )
+#: Account numbers by country have a fixed length, so that capitals or digits behind one are not taken for it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+EXACT = Kind("iban", rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_COUNTRY})(?![A-Z0-9])", None, "iban|bank|account|konto|cuenta|compte", 0.7, 0.2, False)
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
@@ -126,6 +134,15 @@ def confirmed(matches: Column, pieces: Column, kind: Kind) -> Column:
     return F.when(n > 0, found).otherwise(none)
 
 
+def with_exact(longest: Column, exact: Column) -> Column:
+    """Spans of account numbers as long as possible and of their country's length; of two that overlap, the latter."""
+    same = lambda s, t: (s["start"] == t["start"]) & (s["stop"] == t["stop"])
+    meets = lambda s, t: (s["start"] < t["stop"]) & (t["start"] < s["stop"])
+    others = F.filter(longest, lambda s: ~F.exists(exact, lambda t: meets(s, t) & ~same(s, t)))
+    added = F.filter(exact, lambda s: ~F.exists(longest, lambda t: same(s, t)))
+    return F.array_sort(F.concat(others, added))
+
+
 def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col and spans, an array<struct<kind, start, end, score>>, for each row of docs.
 
@@ -135,11 +152,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     # the patterns run once each: a projection of their own holds what they find
+    columns = {k.name: k for k in KINDS} | {"exact": EXACT}
     rows = rows.select(
         id_col,
-        *[c.alias(f"_{k.name}_{part}") for k in KINDS for part, c in zip(("matches", "pieces"), proposals(F.col("_text"), k), strict=True)],
+        *[c.alias(f"_{name}_{part}") for name, k in columns.items() for part, c in zip(("matches", "pieces"), proposals(F.col("_text"), k), strict=True)],
     )
-    rows = rows.select(id_col, *[confirmed(F.col(f"_{k.name}_matches"), F.col(f"_{k.name}_pieces"), k).alias(f"_{k.name}") for k in KINDS])
+    rows = rows.select(id_col, *[confirmed(F.col(f"_{name}_matches"), F.col(f"_{name}_pieces"), k).alias(f"_{name}") for name, k in columns.items()])
+    rows = rows.withColumn("_iban", with_exact(F.col("_iban"), F.col("_exact")))
 
     def named(name: str) -> Column:
         return F.transform(

@@ -151,3 +151,13 @@ def test_mixing_takes_null_sources_and_empty_tables(spark):
     df = spark.createDataFrame([(i, None) for i in range(50)] + [(None, "a")], "doc_id long, source string")
     assert mixing.mix(df).where("source IS NULL").count() > 20
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    from rowloom.llm import pii
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [f"{de} BIC COBADEFFXXX", f"{de} 2024-01-01", f"IBAN {gb} {de} A1", f"{de} end", f"{gb}77", "DE88 3704 0044 0532 0130 00 BIC", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [t[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_personal_data(df).collect() for t in [texts[r.doc_id] or ""]}
+    assert [got[i] for i in range(len(texts))] == [[de], [de], [gb, de], [de], [], [], []]
