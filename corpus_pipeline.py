@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near-duplicates one row, that with the smallest doc_id, then text digest.
 
     A null doc_id loses to any other, and is linked like any other; texts without words are linked with
-    nothing and stay. Rows that share a doc_id but not their text are judged each by its own; repeated
+    nothing and stay. Links are from a similarity of 0.85 on, as in op4: copies between 0.8 and 0.85 stay. Rows that share a doc_id but not their text are judged each by its own; repeated
     rows, of one doc_id and text, are one.
     """
     named = docs.withColumn("_name", _name(F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))))
