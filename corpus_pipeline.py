@@ -72,7 +72,8 @@ STAGES = [
     ("tokens", tokenize),
 ]
 
-#: The classifier and signatures have no SQL form; the stages are tested against brute force.
+#: The classifier and signatures have no SQL form; exact_dedup and near_dedup are tested on rows
+#: with null, empty, repeated and clashing values; the others by counts and columns, their operators in tests of their own.
 ORACLE_SQL = None
 
 
