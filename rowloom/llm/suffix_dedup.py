@@ -4,8 +4,8 @@ Sorting all suffixes of a corpus would move each byte many times. Instead, every
 names an anchor inside it, the leftmost of its GRAM-byte strings with the least hash: equal windows
 have equal anchors at equal places, and one anchor serves about 180 windows. Only anchors whose hash
 occurs again send the bytes of their windows to the task of that hash. There the right and the
-reversed left sides of an anchor's occurrences are sorted as suffixes, deep-shallow: by the first
-bytes with a multikey sort, then ties by blind tries. The neighbours' common prefixes of both orders
+reversed left sides of an anchor's occurrences are sorted as suffixes, in the manner of
+deep-shallow: by the first bytes with a lexsort, then ties by partitions against a leader. The neighbours' common prefixes of both orders
 tell, for each way to lay a window over the anchor, which occurrences agree on all of it.
 
 An anchor with very many occurrences is found in a sample of the texts and dealt out (halved): the
