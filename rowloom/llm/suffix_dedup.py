@@ -4,9 +4,10 @@ Sorting all suffixes of a corpus would move each byte many times. Instead, every
 names an anchor inside it, the leftmost of its GRAM-byte strings with the least hash: equal windows
 have equal anchors at equal places, and one anchor serves about 180 windows. Only anchors whose hash
 occurs again send the bytes of their windows to the task of that hash. There the right and the
-reversed left sides of an anchor's occurrences are sorted as suffixes, in the manner of
-deep-shallow: by the first bytes with a lexsort, then ties by partitions against a leader. The neighbours' common prefixes of both orders
-tell, for each way to lay a window over the anchor, which occurrences agree on all of it.
+reversed left sides of an anchor's occurrences are sorted as suffixes by deep-shallow sorting: by
+multikey quicksort up to SHALLOW bytes, then by a blind trie for each block that still ties. The
+neighbours' common prefixes of both orders tell, for each way to lay a window over the anchor, which
+occurrences agree on all of it.
 
 An anchor with very many occurrences is found in a sample of the texts and dealt out (halved): the
 lengths left of the anchor are halved again and again; for one part of them, only occurrences that
@@ -20,14 +21,16 @@ one text, as in runs of one word, are found there, so that only the first of the
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut, salted_lookup
+from rowloom.llm.common import cut, salted_lookup, written
 from rowloom.llm.textkernel import _CODES, column_bytes, mix, passages, powers
 from rowloom.sources.tables import table
 
@@ -41,46 +44,97 @@ SAMPLE, HOT, FEW = 64, 16_384, 4096
 # --- deep-shallow sort ---------------------------------------------------------------------------
 
 
+def multikey_quicksort(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts rows of 8-byte characters inside each group; the order, and for each place the first place of its block.
+
+    Every open block is parted at once, around the median of three of its rows' characters at the block's
+    depth, into the rows below, equal and above; the equal ones go on to the next character. A block is
+    closed when it has one row or no character is left: then its rows are equal.
+    """
+    n, width = keys.shape
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = g[1:] != g[:-1]
+    block = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if n else np.zeros(0, np.int64)
+    depth = np.zeros(n, np.int64)
+    open_ = np.flatnonzero(np.bincount(block, minlength=n)[block] > 1) if n else block
+    while len(open_):
+        first, d = block[open_], depth[open_]
+        c = keys[order[open_], d]
+        head = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+        size = np.diff(np.append(head, len(open_)))
+        a, m, z = c[head], c[head + size // 2], c[head + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, m), np.minimum(np.maximum(a, m), z)), size)
+        side = (c >= pivot).astype(np.int64) + (c > pivot)
+        part = first * 3 + side
+        by = np.argsort(part, kind="stable")
+        part = part[by]
+        order[open_] = order[open_[by]]
+        new = np.concatenate(([True], part[1:] != part[:-1]))
+        count = np.diff(np.append(np.flatnonzero(new), len(open_)))
+        block[open_] = np.repeat(open_[new], count)
+        depth[open_] = d[by] + (side[by] == 1)
+        open_ = open_[(np.repeat(count, count) > 1) & (depth[open_] < width)]
+    return order, block
+
+
+def blind_trie(strings: list[bytes]) -> list[int]:
+    """The order of strings of one length, by a trie whose inner nodes hold a depth and one byte for each branch.
+
+    A string goes down by those bytes alone, is compared in full with the leaf it ends at, and branches off
+    its path at the depth where the two part. Equal strings share a leaf.
+    """
+    width = len(strings[0])
+    numbers = [int.from_bytes(s, "big") for s in strings]
+    root: tuple | list = [0]
+    for i in range(1, len(strings)):
+        s, at, path = strings[i], root, []
+        while type(at) is tuple:
+            path.append(at)
+            at = at[1].get(s[at[0]]) or next(iter(at[1].values()))
+        differ = (numbers[i] ^ numbers[at[0]]).bit_length()
+        if not differ:
+            at.append(i)
+            continue
+        common = width - (differ + 7) // 8
+        place = bisect_left(path, common, key=itemgetter(0))
+        if place < len(path) and path[place][0] == common:
+            path[place][1][s[common]] = [i]
+            continue
+        node = (common, {strings[at[0]][common]: path[place] if place < len(path) else at, s[common]: [i]})
+        if place:
+            depth, branches = path[place - 1]
+            branches[s[depth]] = node
+        else:
+            root = node
+    out, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        if type(at) is tuple:
+            todo += [child for _, child in sorted(at[1].items(), reverse=True)]
+        else:
+            out += at
+    return out
+
+
 def deep_shallow_sort(matrix: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the rows of a byte matrix (zero-padded to lengths) inside each group.
 
     Returns the order and, for each place in it, the common prefix with the row before (0 for the
-    first of a group), never longer than either row. The shallow part compares eight bytes at a time
-    up to SHALLOW; rows that still tie hang in a blind trie each: a leader's path, from which a row
-    branches where it first differs; rows of one branch tie again and get a trie of their own.
+    first of a group), never longer than either row. Multikey quicksort orders the rows by their first
+    SHALLOW bytes; each block of rows that agree on those is ordered by a blind trie of whole rows.
     """
     n, width = matrix.shape
     padded = np.zeros((n, SHALLOW), np.uint8)
     padded[:, : min(width, SHALLOW)] = matrix[:, :SHALLOW]
-    keys = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((*keys.T[::-1], group))
-    g, k = group[order], keys[order]
-    fresh = np.ones(n, bool)
-    fresh[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1]).any(1)
-    block = np.cumsum(fresh) - 1
-    open_ = np.flatnonzero(np.bincount(block)[block] > 1) if n else np.zeros(0, int)
-    block = np.flatnonzero(fresh)[block] if n else block  # a block is named by its first place
-    while len(open_):
-        rows, lead = order[open_], order[block[open_]]
-        side, depth, byte = np.ones(len(rows), int), lengths[rows].astype(int), np.zeros(len(rows), int)
-        for a in range(0, len(rows), 8192):
-            r, q = matrix[rows[a : a + 8192]], matrix[lead[a : a + 8192]]
-            differs = r != q
-            at = differs.argmax(1)
-            i = np.arange(len(at))
-            far = differs[i, at]
-            up = far & (r[i, at] > q[i, at])
-            side[a : a + 8192] = np.where(far, np.where(up, 2, 0), 1)
-            depth[a : a + 8192] = np.where(far, np.where(up, -at, at), depth[a : a + 8192])
-            byte[a : a + 8192] = np.where(far, r[i, at], 0)
-        by = np.lexsort((byte, depth, side, block[open_]))
-        side, depth, byte, first = side[by], depth[by], byte[by], block[open_]
-        order[open_] = rows[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (first[1:] != first[:-1]) | (side[1:] != side[:-1]) | (depth[1:] != depth[:-1]) | (byte[1:] != byte[:-1])
-        name = np.cumsum(new) - 1
-        block[open_] = open_[np.flatnonzero(new)[name]]
-        open_ = open_[(np.bincount(name)[name] > 1) & (side != 1)]
+    order, block = multikey_quicksort(padded.view(">u8").astype(np.uint64), group)
+    if n and width > SHALLOW:
+        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        for a, b in zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True):
+            if b - a > 1:
+                rows = order[a:b]
+                order[a:b] = rows[blind_trie([row.tobytes() for row in matrix[rows]])]
     common = np.zeros(n, int)
     for a in range(1, n, 8192):
         p, q = order[a - 1 : min(a + 8191, n - 1)], order[a : a + 8192]
@@ -215,19 +269,18 @@ def _kernel(group: np.ndarray, tid: list, anchor: np.ndarray, offset: np.ndarray
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text, n) to (h, tid, times): each anchor hash of a text."""
+    """(tid, text, n) to (tid, anchors): the distinct anchor hashes of a text, and how often each names windows in it."""
     for batch in batches:
         buf, at = column_bytes(batch.column(1))
         for a, b in passages(at):
-            hashes, owners, times = [], [], []
+            hashes, times, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
             for i in range(a, b):
                 h, k = np.unique(Windows(buf[at[i] : at[i + 1]]).hash, return_counts=True)
-                hashes.append(h.view(np.int64))
+                hashes.append(h)
                 times.append(k)
-                owners.append(np.full(len(h), i))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hashes)), batch.column(0).take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(times))], ["h", "tid", "times"]
-            )
+                ends.append(ends[-1] + len(h))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(times))], ["h", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["tid", "anchors"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], fixed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -332,6 +385,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["tid", *out])
 
 
+ANCHORS = "tid binary, anchors array<struct<h:long,times:long>>"
 OCCURRENCE = "h long, tid binary, anchor long, offset long, context binary"
 
 
@@ -343,7 +397,7 @@ def sorted_ranges(occurrences: DataFrame) -> DataFrame:
 def hot_anchors(rows: DataFrame) -> DataFrame:
     """(h): anchor hashes with more than HOT occurrences in different texts, by a sample of the texts (tid, text)."""
     few = rows.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLE)) == 0).groupBy("tid").agg(F.first("text").alias("text"))
-    counts = few.mapInArrow(_anchors, "h long, tid binary, times long").groupBy("h").agg(F.sum("times").alias("times"))
+    counts = few.mapInArrow(_anchors, ANCHORS).select(F.inline("anchors")).groupBy("h").agg(F.sum("times").alias("times"))
     return cut(counts.where(F.col("times") > HOT // SAMPLE).select("h"))
 
 
@@ -403,7 +457,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     hot = hot_anchors(named.select("tid", "text"))
     hot_hashes = np.array([r.h for r in hot.collect()], np.int64)  # one for each HOT occurrences at most
     texts = named.groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    anchors = texts.mapInArrow(_anchors, "h long, tid binary, times long")
+    anchors = written(texts.mapInArrow(_anchors, ANCHORS).where(F.size("anchors") > 0)).select("tid", F.inline("anchors"))
     again = anchors.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
     if len(hot_hashes):
         again = again.join(F.broadcast(hot), "h", "left_anti")
