@@ -8,7 +8,8 @@ in 4.8 symbols on average; it meets nowhere with a probability of about 2e-8.
 
 Documents of one set are one vertex. The sets of a key with few of them are paired; sets of keys with
 many are compared in tiles of two blocks each, whose kernel keeps pairs to itself and gives out links
-that connect what is connected. No member of a key is skipped. Links are confirmed on whole sets.
+that connect what is connected. No member of a key is skipped. Every pair that meets is confirmed or
+refused on its whole sets.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import connected_components, cut, written
+from rowloom.llm.common import connected_components, cut, partitions, salted_lookup, written
 from rowloom.llm.textkernel import column_bytes, mix, passages, text_sets
 from rowloom.sources.tables import table
 
 WORDS, SYMBOLS, CHUNKS = 5, 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
-#: Signatures within this many symbols always meet; those beyond FAR are not confirmed: at a
-#: similarity of 0.85 a pair is further apart than FAR with a probability of about 1e-8.
-DISTANCE, FAR = 2 * CHUNKS - 1, 18
+#: Signatures within this many symbols always meet.
+DISTANCE = 2 * CHUNKS - 1
 #: Keys of more sets than FEW are compared in tiles of blocks of at most about so many shingles and sets.
 FEW, BLOCK_SHINGLES, BLOCK_SETS = 64, 400_000, 512
 _seeds = np.random.default_rng(85).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64)
@@ -57,21 +57,26 @@ def _fingerprints(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return out[0], out[1]
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(id, n, f1, f2, sig) for each row."""
+    """(id, t, n, f1, f2, sig) for each row; t: the first 16 bytes of the text's SHA-256."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, shingles, offsets in text_sets(batch.column(1), WORDS):
+            for a, b, shingles, offsets in text_sets(batch.column(2), WORDS):
                 f1, f2 = _fingerprints(shingles, offsets)
                 sig = [row.tobytes() for row in _signatures(shingles, offsets)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())],
-                    ["id", "n", "f1", "f2", "sig"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())],
+                    ["id", "t", "n", "f1", "f2", "sig"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig binary")
+    named = docs.select(F.col(id_col).alias("id"), _digest(F.col(text)).alias("t"), F.col(text).alias("text"))
+    return named.mapInArrow(run, f"id {kind}, t binary, n long, f1 long, f2 long, sig binary")
 
 
 def _keys(sig: Column) -> Column:
@@ -83,10 +88,6 @@ def _keys(sig: Column) -> Column:
     return F.explode(F.array(*keys))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return sum((F.substring(a, p, 2) != F.substring(b, p, 2)).cast("int") for p in range(1, 2 * SYMBOLS, 2))
-
-
 def similar(percent: int):
     """A kernel over (a, b, z_a, z_b): the rows whose sets have that similarity."""
 
@@ -118,46 +119,58 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     component_id is the smallest identifier reachable over links of sets with that similarity; kept
     marks the row with that identifier. A document without words is linked with nothing and kept.
-    Identifiers are integers or structs; rows that share one and their set are kept together, and a null
+    Identifiers are integers or structs. Rows that share one are judged each by its own set: those
+    of one set are kept together, those of different texts may differ in component. A null
     identifier has a null component and is kept. An empty table gives an empty result; other columns
     are not read.
     """
     if percent < 85:
         raise ValueError("the signature distances hold from a similarity of 85 % on")
     rows = cut(signatures(docs, text, id_col))
-    # a set is named by f1, 64 bits of its content
-    sets = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    keys = sets.select(F.col("f1").alias("c"), _keys(F.col("sig")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = cut(keys.join(shared, "key").select("key", "c", "size"))
-    wanted = sized.select("c").distinct().join(sets.select(F.col("f1").alias("c"), "id"), "c").select("id").distinct()
-    texts = written(packed(docs, text, id_col).join(wanted, "id", "left_semi"))
+    # a set is known by its size and 128 bits of its content, and numbered c; one row (id, t) stands for its text
+    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "t")).alias("row"), F.first("sig").alias("sig"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("c"), "n", "f1", "f2", "row.id", "row.t", "sig"))
+    sized = _met(sets.select("c", _keys(F.col("sig")).alias("key")))
+    wanted = sized.select("c").distinct().join(sets.select("c", "id", "t"), "c")
+    texts = written(packed(docs, text, id_col).join(wanted, ["id", "t"]).dropDuplicates(["id", "t", "c"]).select("c", "z"))
     few = sized.where(F.col("size") <= FEW)
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, "key").where("x.c < y.c").select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     links = _linked(pairs, sets, texts, percent).unionByName(_tiled(sized.where(F.col("size") > FEW), sets, texts, percent))
     root = cut(connected_components(cut(links)).withColumnRenamed("v", "c"))
-    named = sets.select("n", "f1", "f2", F.col("id").alias("own")).join(root.select(F.col("c").alias("f1"), "root"), "f1", "left")
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("least"))
-    named = named.join(least, "root", "left").select("n", "f1", "f2", F.coalesce("least", "own").alias("least"))
+    least = root.join(sets.select("c", "id"), "c").groupBy("root").agg(F.min("id").alias("least"))
+    linked = salted_lookup(root, least, "root").select("c", "least")
+    named = sets.join(linked, "c", "left").select("n", "f1", "f2", F.coalesce("least", "id").alias("least"))
     return _answer(rows, named, id_col)
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """(key, c, size, hub) of the keys (c, key) that several sets have; hub: the first of them.
+
+    Keys with more sets than a partition's even share, at most one for each partition, are broadcast;
+    their rows stay where they are.
+    """
+    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("hub")).where("size > 1"))
+    total = shared.agg(F.sum("size")).first()[0] or 0
+    hot = F.broadcast(shared.where(F.col("size") > max(1000, total // partitions(keys.sparkSession))))
+    rest = keys.join(hot.select("key"), "key", "left_anti").join(shared, "key")
+    return cut(rest.unionByName(keys.join(hot, "key").select(rest.columns)))
+
+
 def _tiled(crowded: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected among the sets of keys (key, c, size) with many sets.
+    """Links (a, b) that connect what is connected among the sets of keys (key, c, size, hub) with many sets.
 
     Sets chained by such keys form a group, dealt to blocks of bounded size by a hash; each pair of
     blocks is a tile, whose kernel compares all its sets at once and gives out a spanning forest. A
     group's sets are sent once for each of its blocks, and no pair leaves a tile.
     """
-    stars = crowded.groupBy("key").agg(F.min("c").alias("a")).join(crowded.select("key", F.col("c").alias("b")), "key").select("a", "b")
-    group = cut(connected_components(stars.distinct()).select(F.col("v").alias("f1"), F.col("root").alias("grp")))
-    placed = group.join(sets.select("f1", "n", "id"), "f1")
+    group = cut(connected_components(crowded.select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()).select(F.col("v").alias("c"), F.col("root").alias("grp")))
+    placed = group.join(sets.select("c", "n"), "c")
     size = placed.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
-    dealt = placed.join(size, "grp").withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int"))
+    dealt = salted_lookup(placed, size, "grp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "f1", "block", "id")
-    sent = tiles.join(texts, "id").select("tile", "f1", "block", "z")
+    tiles = tiles.select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "c")
+    sent = tiles.join(texts, "c").select("tile", "c", "z")
     return sent.repartition("tile").sortWithinPartitions("tile").mapInArrow(forests(percent), "a long, b long")
 
 
@@ -211,14 +224,14 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def forests(percent: int):
-    """A kernel over (tile, f1, block, z) sorted by tile: the links of each tile's spanning forest."""
+    """A kernel over (tile, c, z) sorted by tile: the links of each tile's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
 
         def work(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
-            names = t["f1"].to_numpy()
+            names = t["c"].to_numpy()
             sets = []
             for z in t["z"]:
                 whole = pa.array([press.decompress(z.as_py())], pa.binary()).cast(pa.large_string())
@@ -248,34 +261,34 @@ def forests(percent: int):
 
 
 def packed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(id, z): each text compressed, as texts move more than once."""
+    """(id, t, z): each text compressed, as texts move more than once."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            buf, at = column_bytes(batch.column(1))
+            buf, at = column_bytes(batch.column(2))
             for a, b in passages(at):
                 z = [press.compress(buf[at[i] : at[i + 1]].tobytes()) for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(z, pa.binary())], ["id", "z"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(z, pa.binary())], ["id", "t", "z"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, z binary")
+    named = docs.select(F.col(id_col).alias("id"), _digest(F.col(text)).alias("t"), F.col(text).alias("text"))
+    return named.mapInArrow(run, f"id {kind}, t binary, z binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity holds, by whole sets; signatures rule out most others first."""
-    s, t = sets.alias("s"), sets.alias("t")
+    """The pairs (a, b) of sets whose similarity holds, by whole sets, whatever their signatures; sizes rule out some first."""
+    size = sets.select("c", "n")
     likely = (
-        pairs.join(s, F.col("a") == F.col("s.f1"))
-        .join(t, F.col("b") == F.col("t.f1"))
-        .where("s.n * 100 >= t.n * 85 AND t.n * 100 >= s.n * 85")
-        .where(_differing(F.col("s.sig"), F.col("t.sig")) <= FAR)
-        .select("a", "b", F.col("s.id").alias("id_a"), F.col("t.id").alias("id_b"))
+        pairs.join(size.select(F.col("c").alias("a"), F.col("n").alias("n_a")), "a")
+        .join(size.select(F.col("c").alias("b"), F.col("n").alias("n_b")), "b")
+        .where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
+        .select("a", "b")
     )
     whole = (
         cut(likely)
-        .join(texts.select(F.col("id").alias("id_b"), F.col("z").alias("z_b")), "id_b")
-        .join(texts.select(F.col("id").alias("id_a"), F.col("z").alias("z_a")), "id_a")
+        .join(texts.select(F.col("c").alias("b"), F.col("z").alias("z_b")), "b")
+        .join(texts.select(F.col("c").alias("a"), F.col("z").alias("z_a")), "a")
         .select("a", "b", "z_a", "z_b")
     )
     return cut(whole.mapInArrow(similar(percent), "a long, b long").distinct())
