@@ -33,17 +33,20 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
     A key is hot if it has more than one partition's even share of the rows, so there are at
     most as many hot keys as partitions: that bounds what is broadcast. The other keys take
-    the plain shuffled join.
+    the plain shuffled join. The salt is a hash of the row, so that a task that runs again deals
+    its rows as it did before. rows is read twice: cut it first if it is dear to make.
     """
     spark = rows.sparkSession
     n = partitions(spark)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") > F.lit(max(1000, total // n))).select(F.col(key).alias("_hot"))
-    hot = F.broadcast(cut(hot))
-    spread = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.floor(F.rand(7) * n).cast("int"))
-    )
+    large = cut(counts.where(F.col("_n") > 1000).withColumnRenamed(key, "_hot"))
+    if large.isEmpty():
+        return rows.join(lookup, key, "left")
+    total = counts.agg(F.sum("_n")).first()[0]
+    hot = F.broadcast(large.where(F.col("_n") > F.lit(max(1000, total // n))).select("_hot"))
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(n)).cast("int")
+    spread = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(salt))
     copies = lookup.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(n - 1))))
     )

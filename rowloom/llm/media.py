@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import salted_lookup
+from rowloom.llm.common import salted_lookup, written
 from rowloom.llm.textkernel import column_bytes, passages
 from rowloom.sources.tables import table
 
@@ -175,7 +175,11 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def store(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """(digest, stored): the PNG of each distinct payload of a text column, named by the payload's SHA-256."""
+    """(digest, stored): the PNG of each distinct payload of a text column, named by the payload's SHA-256.
+
+    A null text is an empty one, whose payload is one row of FILL; equal texts, and repeated rows, share one
+    file; an empty table gives none. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +197,10 @@ def store(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def inspect(media: DataFrame) -> DataFrame:
-    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from stored."""
+    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from stored.
+
+    A row for each row of media, repeated ones too; a file that is damaged, or not of to_png(), raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +224,13 @@ def resolve(pages: DataFrame, known: DataFrame) -> DataFrame:
     """A row for each media item of pages (with items): pages' other columns, n_items, position, caption,
     digest and known's columns for it; an item whose digest is not known has nulls there.
 
-    References are "sha256:" and a digest. A digest that very many items name is salted.
+    References are "sha256:" and a digest. A digest that very many items name is salted. Pages without
+    media items give no row; repeated pages give their rows each; an empty table gives an empty result.
     """
     others = [c for c in pages.columns if c != "items"]
     items = pages.select(*others, F.size("items").alias("n_items"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("_item"))
     refs = items.select(*others, "n_items", F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.regexp_extract("_item.ref", "^sha256:([0-9a-f]{64})$", 1).alias("digest"))
-    return salted_lookup(refs, known, "digest")
+    return salted_lookup(written(refs), known, "digest")  # written: pages are parsed once, the join reads the items twice
 
 
 def _escaped(text: Column) -> Column:
