@@ -14,14 +14,26 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary one; a cluster, whose executors could not
+    share that, raises.
+    """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: a lost executor loses none of it."""
     checkpoint_folder(df.sparkSession)
