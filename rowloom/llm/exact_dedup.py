@@ -32,11 +32,9 @@ def _runs(*keys: str) -> Column:
 
 def hot_texts(rows: DataFrame, least: int = LEAST_HOT) -> DataFrame:
     """(_hot, _pieces): digests with more rows (_sha) than a partition's even share, so at most as many as partitions."""
-    n = partitions(rows.sparkSession)
     counts = rows.groupBy("_sha").agg(F.count(F.lit(1)).alias("_copies"))
     large = cut(counts.where(F.col("_copies") > least))
-    total = counts.agg(F.sum("_copies")).first()[0] or 0
-    share = max(least, total // n)
+    share = max(least, rows.count() // partitions(rows.sparkSession))  # the count makes no digest
     return large.where(F.col("_copies") > share).select(F.col("_sha").alias("_hot"), F.ceil(F.col("_copies") / share).cast("int").alias("_pieces"))
 
 
