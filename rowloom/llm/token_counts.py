@@ -2,7 +2,8 @@
 
 The vocabulary is a trie whose nodes have a failure link and the number of pieces that taking the
 link closes. Walking a word touches each byte once, plus the links, and adds up counts; no piece is
-built. Words of a batch walk together as numpy vectors, each distinct word once a partition.
+built. Words of a batch walk together as numpy vectors, each distinct word once a partition; when few are
+left, each walks on by itself, so that a word of any length takes time in proportion to it.
 
 A word is a run of bytes other than space and 09-0D. Pieces that begin with a space begin words, the
 others continue them: the word is walked with a space in front.
@@ -25,6 +26,8 @@ from rowloom.sources.tables import table
 
 #: Distinct words that a worker remembers at most.
 REMEMBERED = 400_000
+#: A round of numpy is worth its while for so many words.
+TOGETHER = 64
 
 
 class Automaton:
@@ -59,10 +62,26 @@ class Automaton:
                 fail[node], popped[node] = children[(z << 8) | c], n
         self.goto = PairTable(np.fromiter(children.keys(), np.int64), np.fromiter(children.values(), np.int32))
         self.fail, self.popped = np.array(fail, np.int32), np.array(popped, np.int64)
+        self.links = children, fail, popped
         self.known: dict[bytes, int] = {}
 
+    def walk_on(self, word: bytes, state: int = 0, count: int = 0) -> int:
+        """Pieces of a word whose walk stands in state with count pieces closed; word: what is left of it."""
+        children, fail, popped = self.links
+        for c in word:
+            while (to := children.get((state << 8) | c)) is None:
+                if fail[state] < 0:
+                    return 1
+                count += popped[state]
+                state = fail[state]
+            state = to
+        while state > 0:
+            count += popped[state]
+            state = fail[state]
+        return count if state == 0 else 1
+
     def walk(self, words: list[bytes]) -> np.ndarray:
-        """Pieces of each word, all words one byte at a time."""
+        """Pieces of each word, all words one byte at a time; the few longest walk on alone."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-sizes, kind="stable")
         buf = np.frombuffer(b"".join(words), np.uint8)
@@ -73,6 +92,8 @@ class Automaton:
         for at in range(int(sizes[0]) if len(words) else 0):
             while sizes[live - 1] <= at:
                 live -= 1
+            if live < TOGETHER:
+                break
             rows = np.flatnonzero(~dead[:live])
             c = buf[starts[rows] + at].astype(np.int64)
             while len(rows):
@@ -85,7 +106,10 @@ class Automaton:
                 rows, c, back = rows[back >= 0], c[back >= 0], back[back >= 0]
                 count[rows] += self.popped[state[rows]]
                 state[rows] = back
-        rows = np.flatnonzero(~dead & (state > 0))
+        else:
+            at, live = 0, 0
+        alone = {i: self.walk_on(words[order[i]][at:], int(state[i]), int(count[i])) for i in range(live) if not dead[i]}
+        rows = live + np.flatnonzero(~dead[live:] & (state[live:] > 0))
         while len(rows):
             back = self.fail[state[rows]]
             dead[rows[back < 0]] = True
@@ -94,6 +118,8 @@ class Automaton:
             state[rows] = back
             rows = rows[back > 0]
         count[dead] = 1
+        for i, n in alone.items():
+            count[i] = n
         out = np.empty(len(words), np.int64)
         out[order] = count
         return out
