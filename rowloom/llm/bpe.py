@@ -22,8 +22,9 @@ from rowloom.llm.textkernel import column_bytes, passages
 from rowloom.sources.tables import table
 
 NONE = np.int32(2**31 - 1)
-#: Longest pre-token, in bytes, of the matrices; distinct pre-tokens that a worker remembers at most.
-MATRIX_WIDTH, REMEMBERED = 256, 200_000
+#: Longest pre-token, in bytes, of the matrices, whose time grows with its square: half a second here; distinct
+#: pre-tokens that a worker remembers at most.
+MATRIX_WIDTH, REMEMBERED = 8192, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,12 +215,12 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(sent.value, pattern)
         for batch in batches:
-            column = batch.column(batch.schema.names.index("_text"))
+            column = batch.column(len(others))
             _, at = column_bytes(column)
             for a, b in passages(at):
                 part = batch.slice(a, b - a)
                 ids = vocab.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
-                columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != "_text"}
+                columns = {n: part.column(i) for i, n in enumerate(others)}
                 columns["n_tokens"] = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if with_ids:
                     columns["ids"] = pa.array(ids, pa.binary())
@@ -229,7 +230,7 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 
     kinds = {"n_tokens": "long", "ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*others).schema] + [f"{n} {kinds[n]}" for n in made])
-    return kept.select(*others, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return kept.select(*others, text).mapInArrow(run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
