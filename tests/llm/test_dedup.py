@@ -206,3 +206,27 @@ def test_passages_of_hot_anchors_are_split(spark, monkeypatch):
     assert [(got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) for i in range(len(t))] == brute_passages([(x or "").encode() for x in t])
     # before, all occurrences of an anchor were sorted in one task
     assert sizes[0][0] > 12 and sizes[0][1] <= 3
+
+
+def _content_reference(rows, keep):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate(fold), []).append(i)
+    return sorted((i, (max if keep == "max" else min)(g), len(g), i == (max if keep == "max" else min)(g)) for t, g in groups.items() for i in g)
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_hot_texts_are_cut_into_pieces_and_merged_whole(spark, keep):
+    rows = [(i, "The Same Text" if i % 3 else f"text {i}") for i in range(900)] + [(1000 + i, "the same text") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = exact_dedup.hot_texts(docs.selectExpr("sha2(lower(text), 256) AS _sha"), 20).collect()
+    assert len(hot) == 1 and hot[0]["_pieces"] > 1  # so pieces of different salts do meet below
+    got = exact_dedup.content_runs(docs, keep, least_hot=20).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == _content_reference(rows, keep)
+
+
+def test_pieces_with_one_digest_and_different_texts_stay_apart(spark):
+    heads = spark.createDataFrame([("d", 0, 1, "a", 5, 2), ("d", 1, 1, "a", 3, 4), ("d", 1, 2, "b", 1, 7)], "_sha string, _salt int, _run long, _norm string, _best long, _n long")
+    got = sorted((r["_salt"], r["_run"], r["keep_id"], r["group_size"], r["_wins"]) for r in exact_dedup.merge_pieces(heads, "min").collect())
+    assert got == [(0, 1, 3, 6, False), (1, 1, 3, 6, True), (1, 2, 1, 7, True)]
