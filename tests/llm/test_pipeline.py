@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,113 @@ def test_near_copies_with_null_empty_repeated_and_clashing_rows(spark):
     assert left(cp.drop_near_copies, spark, [(None, NEAR), (1, LONG), (2, FAR), (2, NEAR)]) == sorted([(1, LONG), (2, FAR)], key=str)
     got = left(cp.drop_near_copies, spark, [(2, LONG), (2, NEAR)])
     assert len(got) == 1 and got[0][0] == 2
+
+
+def _plain(rows, labels):
+    """The five stages without Spark: rows of (doc_id, text, lang, source, n_chars), labels of (doc_id, quality)."""
+    import base64
+    import hashlib
+    import math
+    import re
+
+    import numpy as np
+    import tiktoken
+    import public_tokenizers
+    from rowloom.llm import features, quality
+
+    def measured(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return features.quality_features(raw, np.array([0, len(raw)]))[0]
+
+    known = {i: q for i, q in labels if i is not None}
+    fitted = sorted(((r[0], measured(r[1] or "")) for r in rows if r[0] in known), key=lambda v: v[0])
+    ranking = quality.fit(np.array([v for _, v in fitted]), np.array([known[i] for i, _ in fitted]))
+    rows = [r for r in rows if ranking.scores(measured(r[1] or "")[None])[0] >= 0.5]
+
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    rank = lambda r: (r[0] is None, r[0] or 0)
+    first = {}
+    for r in sorted(rows, key=rank):
+        first.setdefault(fold(r[1]), r)
+    rows = list(first.values())
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)), key=lambda k: rank(rows[k]))
+                parent[b] = a
+    rows = [r for i, r in enumerate(rows) if find(i) == i]
+
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + 1
+    total = sum(n**0.5 for n in sizes.values())
+    mixed = []
+    for r in rows:
+        n = sizes[r[3]]
+        rate = n**0.5 / total / n * len(rows)
+        u = int(hashlib.md5(f"17:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        term, below, k = math.exp(-rate), 0.0, 0
+        while (below := below + term) <= u and k < 200:
+            k += 1
+            term *= rate / k
+        mixed += [r] * k
+
+    ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    done = []
+    for i, text, *_ in mixed:
+        ids = np.array(codec.encode_ordinary(text or ""), "<u4").tobytes()
+        done.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    return sorted(done, key=str)
+
+
+def test_run_equals_a_plain_version(spark, tmp_path):
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvw", k=rng.randint(2, 9)))
+    good = lambda n: ". ".join(" ".join(word() for _ in range(8)).capitalize() for _ in range(n)) + "."
+    bad = lambda n: " ".join(rng.choices(["@@", "##!!", "zz", "CLICK", "9999", "@@ @@"], k=n))
+    docs = [(i, good(rng.randint(3, 30)) if i % 3 else bad(rng.randint(5, 60)), "en", "web" if i % 4 else None, 1) for i in range(240)]
+    docs += [(1000 + i, docs[3 * i + 1][1].upper() if i % 2 else docs[3 * i + 1][1].replace(".", " extra.", 1), "de", "books", 1) for i in range(40)]
+    docs += [(None, good(4), "en", "web", 1), (None, docs[1][1], "en", "web", 1), (2000, None, "en", "web", 1), (2001, "", "en", "web", 1), docs[4], docs[4]]
+    labels = [(i, int(i % 3 != 0)) for i in range(0, 240, 2)] + [(None, 0)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, kind).withColumn("named", F.lit(0)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in cp.run(spark, str(tmp_path)).collect()), key=str)
+    want = _plain(docs, labels)
+    assert got == want and 50 < len({r[0] for r in got}) < 200
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        assert stage(spark, rows(spark, []), SF).count() == 0, name
+
+
+def test_quality_and_mixing_take_null_empty_and_repeated_rows(spark):
+    import corpus_pipeline as cp
+
+    pairs = [(None, "words of a text"), (None, None), (1, ""), (1, ""), (2, "same words"), (2, "same words")]
+    kept = left(cp.accept_quality, spark, pairs)
+    assert kept.count((2, "same words")) in (0, 2) and kept.count((1, "")) in (0, 2)
+    mixed = left(cp.mix_sources, spark, pairs)
+    assert mixed.count((1, "")) % 2 == 0 and mixed.count((2, "same words")) % 2 == 0
+    assert sorted(r.n_tokens == 0 for r in cp.tokenize(spark, rows(spark, pairs), SF).collect()) == [False] * 3 + [True] * 3
