@@ -37,8 +37,9 @@ from rowloom.sources.tables import table
 LENGTH, GRAM = 400, 32
 REACH = LENGTH - GRAM
 SHALLOW = 64
-#: One text in SAMPLE is looked at for anchors with more than HOT occurrences; they are split until a task sorts at most FEW at once.
-SAMPLE, HOT, FEW = 64, 16_384, 4096
+#: One text in SAMPLE is looked at for hot anchors: those with more than HOT occurrences, and more than a MOST-th of
+#: all, so that at most MOST are sent to the tasks. They are split until a task sorts at most FEW at once.
+SAMPLE, HOT, MOST, FEW = 64, 4096, 4_000_000, 1024
 
 
 # --- deep-shallow sort ---------------------------------------------------------------------------
@@ -269,18 +270,24 @@ def _kernel(group: np.ndarray, tid: list, anchor: np.ndarray, offset: np.ndarray
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text, n) to (tid, anchors): the distinct anchor hashes of a text, and how often each names windows in it."""
+    """(tid, text) to (tid, anchors, own): the distinct anchor hashes of a text and how often each names windows in
+    it; and the ranges of the windows that repeat inside the text."""
     for batch in batches:
         buf, at = column_bytes(batch.column(1))
         for a, b in passages(at):
-            hashes, times, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
+            hashes, times, lo, hi = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(a, b):
-                h, k = np.unique(Windows(buf[at[i] : at[i + 1]]).hash, return_counts=True)
-                hashes.append(h)
-                times.append(k)
-                ends.append(ends[-1] + len(h))
-            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(times))], ["h", "times"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["tid", "anchors"])
+                w = Windows(buf[at[i] : at[i + 1]])
+                h, k = np.unique(w.hash, return_counts=True)
+                s, e = _spans(w.repeated, w.repeated + LENGTH)
+                for column, values in ((hashes, h), (times, k), (lo, s), (hi, e)):
+                    column.append(values)
+            lists = []
+            for names, parts in ((("h", "times"), (hashes, times)), (("lo", "hi"), (lo, hi))):
+                ends = pa.array(np.cumsum([len(x) for x in parts[0]]), pa.int32())
+                fields = [pa.array(np.concatenate(x).view(np.int64)) for x in parts]
+                lists.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["tid", "anchors", "own"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], fixed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -368,12 +375,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copies[i] > 1 and n >= LENGTH:
                 s, e = np.array([0]), np.array([n])
             else:
-                again = Windows(text).repeated
                 found = ranges[i].values
-                known = found if found is not None and len(found) else None
-                lo = np.concatenate((again, np.asarray(known.field("lo")) if known is not None else np.zeros(0, np.int64)))
-                hi = np.concatenate((again + LENGTH, np.asarray(known.field("hi")) if known is not None else np.zeros(0, np.int64)))
-                s, e = _spans(lo, hi)
+                known = [np.asarray(found.field(k)) if len(found) else np.zeros(0, np.int64) for k in ("lo", "hi")]
+                s, e = _spans(*known)
             raw, place, rest = text.tobytes(), 0, hashlib.sha256()
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
                 rest.update(raw[place:a])
@@ -385,7 +389,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["tid", *out])
 
 
-ANCHORS = "tid binary, anchors array<struct<h:long,times:long>>"
+ANCHORS = "tid binary, anchors array<struct<h:long,times:long>>, own array<struct<lo:long,hi:long>>"
 OCCURRENCE = "h long, tid binary, anchor long, offset long, context binary"
 
 
@@ -395,10 +399,14 @@ def sorted_ranges(occurrences: DataFrame) -> DataFrame:
 
 
 def hot_anchors(rows: DataFrame) -> DataFrame:
-    """(h): anchor hashes with more than HOT occurrences in different texts, by a sample of the texts (tid, text)."""
+    """(h): anchor hashes with very many occurrences in different texts, by a sample of the texts (tid, text)."""
     few = rows.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLE)) == 0).groupBy("tid").agg(F.first("text").alias("text"))
     counts = few.mapInArrow(_anchors, ANCHORS).select(F.inline("anchors")).groupBy("h").agg(F.sum("times").alias("times"))
-    return cut(counts.where(F.col("times") > HOT // SAMPLE).select("h"))
+    many = cut(counts.where(F.col("times") > HOT // SAMPLE))
+    if many.isEmpty():
+        return many.select("h")
+    total = counts.agg(F.sum("times")).first()[0]
+    return cut(many.where(F.col("times") > total // MOST).select("h"))
 
 
 def _digest(data: Column, *parts: str) -> Column:
@@ -455,15 +463,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     named = rows.withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     ids = cut(named.select("id", "tid"))
     hot = hot_anchors(named.select("tid", "text"))
-    hot_hashes = np.array([r.h for r in hot.collect()], np.int64)  # one for each HOT occurrences at most
+    hot_hashes = np.array([r.h for r in hot.collect()], np.int64)  # at most MOST
     texts = named.groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    anchors = written(texts.mapInArrow(_anchors, ANCHORS).where(F.size("anchors") > 0)).select("tid", F.inline("anchors"))
-    again = anchors.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
+    measured = written(texts.mapInArrow(_anchors, ANCHORS).where("size(anchors) > 0 OR size(own) > 0"))
+    anchors = measured.select("tid", F.inline("anchors"))
     if len(hot_hashes):
-        again = again.join(F.broadcast(hot), "h", "left_anti")
+        anchors = anchors.join(F.broadcast(hot), "h", "left_anti")
+    again = anchors.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
     wanted = anchors.select("h", "tid").join(again, "h").groupBy("tid").agg(F.collect_list("h").alias("hs"))
     occurrences = texts.join(wanted, "tid").select("tid", "text", "hs").mapInArrow(_contexts, OCCURRENCE)
-    ranges = sorted_ranges(occurrences)
+    ranges = sorted_ranges(occurrences).unionByName(measured.select("tid", F.inline("own")))
     if len(hot_hashes):
         found = named.select("tid", "text").mapInArrow(lambda batches: _contexts(batches, hot_hashes), OCCURRENCE)
         settled, groups = halved(found.dropDuplicates(["tid", "anchor", "offset"]))
