@@ -125,9 +125,10 @@ def turn_rate(v: DataFrame, window: float) -> DataFrame:
     a = along(v)
     half = f"{window / 2!r}D"
     here = F.struct("pos", "x", "y", "dist")
-    over = "(struct(pos, x, y, dist), pos) OVER (PARTITION BY line_id ORDER BY dist RANGE BETWEEN"
-    a = a.withColumn("_l", F.expr(f"max_by{over} UNBOUNDED PRECEDING AND {half} PRECEDING)"))
-    a = a.withColumn("_r", F.expr(f"min_by{over} {half} FOLLOWING AND UNBOUNDED FOLLOWING)"))
+    # both frames begin at the far end of the line and grow, so a vertex enters an aggregate once
+    over = "(struct(pos, x, y, dist), pos) OVER (PARTITION BY line_id ORDER BY dist"
+    a = a.withColumn("_l", F.expr(f"max_by{over} RANGE BETWEEN UNBOUNDED PRECEDING AND {half} PRECEDING)"))
+    a = a.withColumn("_r", F.expr(f"min_by{over} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {half} PRECEDING)"))
     first, last = F.min_by(here, "pos").over(_line()), F.max_by(here, "pos").over(_line())
     a = a.withColumn("_l", F.coalesce("_l", first)).withColumn("_r", F.coalesce("_r", last))
     ax, ay, bx, by = F.col("x") - F.col("_l.x"), F.col("y") - F.col("_l.y"), F.col("_r.x") - F.col("x"), F.col("_r.y") - F.col("y")
@@ -136,7 +137,7 @@ def turn_rate(v: DataFrame, window: float) -> DataFrame:
     a = a.withColumn("_rate", F.when(valid, F.degrees(signed_turn(ax, ay, bx, by)) / gap))
     known = F.when(F.col("_rate").isNotNull(), F.struct("pos", F.col("_rate").alias("r")))
     before = F.last(known, True).over(_path().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, True).over(_path().rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(known, True).over(_line().orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
     a = a.withColumn("_p", before).withColumn("_q", after)
     mid = F.col("_p.r") + (F.col("_q.r") - F.col("_p.r")) * (F.col("pos") - F.col("_p.pos")) / (F.col("_q.pos") - F.col("_p.pos"))
     rate = F.when(F.col("_rate").isNotNull(), F.col("_rate")).when(F.col("_p").isNull(), F.col("_q.r")).when(F.col("_q").isNull(), F.col("_p.r")).otherwise(mid)
@@ -153,7 +154,7 @@ def persistent_turn_rate(v: DataFrame, short: float, long: float) -> DataFrame:
 def weighted_filter(v: DataFrame, column: str, weights: list[float]) -> DataFrame:
     """(line_id, pos, smooth): a centred filter; weights are those of offsets 0, 1, ..., and the ends repeat."""
     total = weights[0] + 2 * sum(weights[1:])
-    first, last = F.first(column).over(_line().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.last(column).over(_line().orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
+    first, last = F.first(column).over(_path()), F.max_by(column, "pos").over(_line())
     value: Column = F.col(column) * weights[0]
     for k, w in enumerate(weights[1:], 1):
         value = value + F.coalesce(F.lag(column, k).over(_path()), first) * w + F.coalesce(F.lead(column, k).over(_path()), last) * w

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.scalar import angle_difference, axial_bearing, point_segment_distance, project_on_segment
-from rowloom.operators.durable import cut
+from rowloom.operators.durable import cut, settled
 
 
 def _cells(df: DataFrame, box: tuple[Column, Column, Column, Column], size: float) -> DataFrame:
@@ -96,7 +96,8 @@ def pair_measures(pairs: DataFrame, samples: int = 20) -> DataFrame:
         return point_segment_distance(sx0 + f * (sx1 - sx0), sy0 + f * (sy1 - sy0), *t)
 
     d = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), at))
-    p = p.withColumn("_d", d).withColumn("_n", F.size("_d"))
+    # settled: a condition on a measure would otherwise go into the join, with the sort repeated for each of its parts
+    p = settled(p.withColumn("_d", d), "_d").withColumn("_n", F.size("_d"))
     median = (F.get("_d", F.floor((F.col("_n") - 1) / 2).cast("int")) + F.get("_d", F.floor(F.col("_n") / 2).cast("int"))) / 2
     span = F.abs(project_on_segment(sx1, sy1, *t) - project_on_segment(sx0, sy0, *t))
     bearing = lambda e: axial_bearing(e[2] - e[0], e[3] - e[1])
