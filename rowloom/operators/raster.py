@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.scalar import quality_flag, world_to_pixel
-from rowloom.operators.durable import cut
+from rowloom.functions.scalar import pixel_to_world, point_segment_distance, quality_flag, world_to_pixel
+from rowloom.operators import kernels
+from rowloom.operators.durable import cut, numbered, settled
 from rowloom.operators.graph import connected_components
 
 EIGHT = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
@@ -48,27 +51,47 @@ def pixel_id(row: Column, col: Column) -> Column:
     return row.cast("long") * (1 << 32) + col.cast("long")
 
 
-def pixel_components(mask: DataFrame) -> DataFrame:
-    """(row, col, root): 8-connected components of a mask, named by their smallest pixel."""
-    ids = mask.select("row", "col", pixel_id(F.col("row"), F.col("col")).alias("v"))
-    half = [(0, 1), (1, -1), (1, 0), (1, 1)]
-    steps = F.array(*[F.lit(r * (1 << 32) + c) for r, c in half])
-    ahead = ids.select(F.col("v").alias("a"), F.explode(steps).alias("s")).select("a", (F.col("a") + F.col("s")).alias("b"))
-    links = ahead.join(ids.select(F.col("v").alias("b")), "b", "left_semi")
-    return ids.join(connected_components(links), "v", "left").select("row", "col", F.coalesce("root", "v").alias("root"))
+def _block(at: str, size: int) -> Column:
+    return F.floor(F.col(at) / size).cast("int")
+
+
+def pixel_components(mask: DataFrame, block: int = 1024) -> DataFrame:
+    """(row, col, root, and the other columns of mask): 8-connected components, named by their smallest pixel.
+
+    Blocks are labelled by themselves; then only labels that touch across a block's edge are joined, so
+    that the rounds of the graph run over edge contacts and not over pixels.
+    """
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.schema)
+    dealt = mask.withColumns({"_br": _block("row", block), "_bc": _block("col", block)})
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64)
+        return frame.drop(columns=["_br", "_bc"]).assign(_label=kernels.labels(rows, cols))
+
+    local = cut(dealt.groupBy("_br", "_bc").applyInPandas(run, f"{kind}, _label long"))
+    first_row, first_col = F.pmod("row", F.lit(block)), F.pmod("col", F.lit(block))
+    edge = local.where((first_row == 0) | (first_row == block - 1) | (first_col == 0) | (first_col == block - 1))
+    edge = edge.select("row", "col", F.col("_label").alias("a"), _block("row", block).alias("br"), _block("col", block).alias("bc"))
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    ahead = edge.select("a", "row", "col", "br", "bc", F.explode(steps).alias("o")).select("a", "br", "bc", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
+    ahead = ahead.where((_block("row", block) != F.col("br")) | (_block("col", block) != F.col("bc"))).select("a", "row", "col")
+    links = cut(ahead.join(edge.select("row", "col", F.col("a").alias("b")), ["row", "col"]).select("a", "b").distinct())
+    if links.isEmpty():
+        return local.withColumnRenamed("_label", "root")
+    roots = connected_components(links)
+    return local.join(roots, F.col("_label") == F.col("v"), "left").select(*mask.columns, F.coalesce("root", "_label").alias("root"))
 
 
 def hysteresis(pixels: DataFrame, low: float, high: float) -> DataFrame:
     """(row, col): components of pixels at low or above that hold one at high or above."""
-    parts = cut(pixel_components(pixels.where(F.col("p") >= low)))
-    seeds = pixels.where(F.col("p") >= high).select("row", "col")
-    kept = parts.join(seeds, ["row", "col"], "left_semi").select("root").distinct()
+    parts = pixel_components(pixels.where(F.col("p") >= low).select("row", "col", (F.col("p") >= high).alias("seed")))
+    kept = parts.where("seed").select("root").distinct()
     return parts.join(kept, "root", "left_semi").select("row", "col")
 
 
 def drop_small(mask: DataFrame, least: int, rows: int, cols: int) -> DataFrame:
     """A mask without components below least pixels; those that touch the border stay."""
-    parts = cut(pixel_components(mask))
+    parts = pixel_components(mask.select("row", "col"))
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == rows - 1) | (F.col("col") == cols - 1)
     kept = parts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max(edge).alias("edge")).where((F.col("n") >= least) | F.col("edge"))
     return parts.join(kept.select("root"), "root", "left_semi").select("row", "col")
@@ -143,3 +166,129 @@ def blend(predicted: DataFrame, size: int) -> DataFrame:
 def largest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def directional_close(mask: DataFrame, reach: int = 1) -> DataFrame:
+    """A mask closed along rows, columns and both diagonals: a gap of up to 2 * reach pixels between two set pixels of a direction is filled.
+
+    Closing by a segment of 2 * reach + 1 pixels; the union over the four directions.
+    """
+    out = mask.select("row", "col")
+    for r, c in ((0, 1), (1, 0), (1, 1), (1, -1)):
+        line = [(k * r, k * c) for k in range(-reach, reach + 1)]
+        grown = _spread(mask, line).distinct()
+        shrunk = _spread(grown, line).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2 * reach + 1)
+        out = out.unionByName(shrunk.select("row", "col"))
+    return out.distinct()
+
+
+def thinned(mask: DataFrame, block: int = 512, halo: int = 64) -> DataFrame:
+    """(row, col): a mask thinned by Guo and Hall's rule, the same for any block and halo (an even number).
+
+    A pixel's fate in a pass rests on its neighbours alone. So a block with a halo takes halo passes that
+    are right for the block's own pixels; then halos are exchanged, until no pixel goes.
+    """
+    if halo < 2 or halo % 2:
+        raise ValueError("halo must be an even number of pixels")
+    state, count = cut(mask.select("row", "col").distinct()), None
+    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block))
+    side = block + 2 * halo
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(f["br"].iloc[0]) * block - halo, int(f["bc"].iloc[0]) * block - halo
+        image = np.zeros((side, side), bool)
+        image[f["row"].to_numpy() - top, f["col"].to_numpy() - left] = True
+        r, c = np.nonzero(kernels.thin(image, halo // 2)[halo : halo + block, halo : halo + block])
+        return pd.DataFrame({"row": (r + top + halo).astype("int32"), "col": (c + left + halo).astype("int32")})
+
+    while (now := state.count()) != count:
+        count = now
+        dealt = state.select("row", "col", F.explode(span("row")).alias("br")).select("row", "col", "br", F.explode(span("col")).alias("bc"))
+        state = cut(dealt.groupBy("br", "bc").applyInPandas(run, "row int, col int"))
+    return state
+
+
+def branches(mask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The branches of a skeleton: (branch, n_pixels, closed, end_a, end_b) and their pixels (branch, row, col, node).
+
+    Nodes are the pixels that have not two neighbours. Two nodes side by side are a branch; so is a component of
+    other pixels with the nodes that it touches, or by itself if it touches none. A branch is named
+    by its smallest inner pixel, or by its first node and a negative number; closed: it begins where it ends.
+    """
+    marked = cut(degrees(mask).select("row", "col", pixel_id(F.col("row"), F.col("col")).alias("v"), (F.col("degree") != 2).alias("node")))
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in EIGHT])
+    nodes = marked.where("node").select("row", "col", "v")
+    near = nodes.select("v", F.explode(steps).alias("o"), "row", "col").select(F.col("v").alias("at"), (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
+    inner = pixel_components(marked.where("NOT node").select("row", "col")).withColumnRenamed("root", "branch")
+    touches = near.join(inner, ["row", "col"]).select("branch", "at")
+    size = inner.groupBy("branch").agg(F.count(F.lit(1)).alias("n"))
+    ends = touches.groupBy("branch").agg(F.array_sort(F.collect_list("at")).alias("ends"))  # two at most
+    runs = size.join(ends, "branch", "left").select(
+        "branch", (F.col("n") + F.when(F.col("ends").isNull(), 1).otherwise(2)).alias("n_pixels"),
+        (F.col("ends").isNull() | (F.get("ends", F.lit(0)) == F.get("ends", F.lit(1)))).alias("closed"), F.get("ends", F.lit(0)).alias("end_a"), F.get("ends", F.lit(1)).alias("end_b"),
+    )
+    pairs = near.join(nodes, ["row", "col"]).where("at < v").select((-F.xxhash64("at", "v") % (1 << 62)).alias("h"), "at", "v")
+    pairs = pairs.select((-F.abs("h") - 1).alias("branch"), F.lit(2).cast("long").alias("n_pixels"), F.lit(False).alias("closed"), F.col("at").alias("end_a"), F.col("v").alias("end_b"))
+    every = runs.unionByName(pairs)
+    place = lambda v: [F.shiftright(v, 32).cast("int").alias("row"), (F.col(v) % (1 << 32)).cast("int").alias("col")]
+    at_ends = every.where("end_a IS NOT NULL").select("branch", F.explode(F.array_distinct(F.array("end_a", "end_b"))).alias("v")).select("branch", *place("v"), F.lit(True).alias("node"))
+    return every, inner.select("branch", "row", "col", F.lit(False).alias("node")).unionByName(at_ends)
+
+
+def vectorize(pixels: DataFrame, transform: tuple[float, ...], least: int = 2) -> DataFrame:
+    """(line_id, pos, x, y): branches of least pixels or more (branch, row, col, node) as lines through pixel centres, in order."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        order = kernels.chain(f["row"].to_numpy(np.int64), f["col"].to_numpy(np.int64), f["node"].to_numpy(bool))
+        if len(order) < least:
+            order = order[:0]
+        return pd.DataFrame({"line_id": f["branch"].iloc[0], "pos": np.arange(len(order)), "row": f["row"].to_numpy()[order], "col": f["col"].to_numpy()[order]})
+
+    ordered = pixels.groupBy("branch").applyInPandas(run, "line_id long, pos long, row int, col int")
+    x, y = pixel_to_world(F.col("row"), F.col("col"), *transform)
+    return ordered.select("line_id", "pos", x.alias("x"), y.alias("y"))
+
+
+def skeleton_agreement(predicted: DataFrame, target: DataFrame, predicted_lines: DataFrame, target_lines: DataFrame) -> DataFrame:
+    """One row: precision, recall and cldice of two masks (row, col) and their skeletons; 1 if all are empty, 0 if one side is."""
+    inside = lambda lines, mask: lines.join(mask.withColumn("hit", F.lit(1)), ["row", "col"], "left").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("k"))
+    p = inside(predicted_lines.select("row", "col"), target.select("row", "col").distinct()).select(F.col("n").alias("pn"), F.coalesce("k", F.lit(0)).alias("pk"))
+    t = inside(target_lines.select("row", "col"), predicted.select("row", "col").distinct()).select(F.col("n").alias("tn"), F.coalesce("k", F.lit(0)).alias("tk"))
+    both = p.join(F.broadcast(t), F.lit(True))  # one row each
+    share = lambda k, n: (F.col(k) / (F.col(n) + 1e-8))
+    a, b = share("pk", "pn"), share("tk", "tn")
+    value = F.when((F.col("pn") == 0) & (F.col("tn") == 0), 1.0).when((F.col("pn") == 0) | (F.col("tn") == 0), 0.0).otherwise(2 * a * b / (a + b + 1e-8))
+    return both.select(a.alias("precision"), b.alias("recall"), value.alias("cldice"))
+
+
+def burn(rows: DataFrame, transform: tuple[float, ...], height: int, width: int, reach: float) -> DataFrame:
+    """(row, col, id, sin2, cos2): pixels whose centres lie within reach of a straight row (id, x0, y0, x1, y1), with the
+    doubled-angle direction of the nearest one (ties by id). The transform has no rotation."""
+    a, _, c, _, e, f = transform
+    lo = lambda p, q, o, s: F.floor(F.least((F.least(p, q) - reach - o) / s, (F.greatest(p, q) + reach - o) / s)).cast("int")
+    hi = lambda p, q, o, s: F.ceil(F.greatest((F.least(p, q) - reach - o) / s, (F.greatest(p, q) + reach - o) / s)).cast("int")
+    x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
+    span = lambda low, high, n: F.sequence(F.greatest(F.lit(0), low), F.greatest(F.lit(0), F.least(F.lit(n - 1), high)))
+    cells = rows.withColumn("col", F.explode(span(lo(x0, x1, c, a), hi(x0, x1, c, a), width)))
+    # within a column only the rows that the segment passes there, widened by reach and by its slope
+    px = a * (F.col("col") + 0.5) + c
+    t = lambda x: F.when(x1 != x0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x0) / (x1 - x0))))
+    ya, yb = F.coalesce(y0 + t(px - reach) * (y1 - y0), y0), F.coalesce(y0 + t(px + reach) * (y1 - y0), y1)
+    cells = cells.withColumns({"_ya": ya, "_yb": yb})
+    cells = cells.withColumn("row", F.explode(span(lo(F.col("_ya"), F.col("_yb"), f, e), hi(F.col("_ya"), F.col("_yb"), f, e), height)))
+    py = e * (F.col("row") + 0.5) + f
+    d = point_segment_distance(a * (F.col("col") + 0.5) + c, py, x0, y0, x1, y1)
+    near = settled(cells.withColumn("_d", d), "_d").where(F.col("_d") <= reach)
+    best = near.groupBy("row", "col").agg(F.min(F.struct(F.round("_d", 9).alias("d"), F.col("id").alias("id"), (x1 - x0).alias("dx"), (y1 - y0).alias("dy"))).alias("b"))
+    angle = 2 * F.atan2(F.col("b.dy"), F.col("b.dx"))
+    return best.select("row", "col", F.col("b.id").alias("id"), F.sin(angle).alias("sin2"), F.cos(angle).alias("cos2"))
+
+
+def keep_negatives(tiles: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
+    """tiles (tile_id, sampling_class): all positive ones, and of the others, in the order of a seeded hash, at most
+    floor(ratio * number of positive ones); hard negatives first."""
+    n = tiles.agg(F.floor(F.count_if(F.col("sampling_class") == "positive") * ratio).alias("n"))
+    others = tiles.where("sampling_class <> 'positive'").withColumns({"_hard": (F.col("sampling_class") != "hard_negative").cast("int"), "_key": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tile_id").cast("string")))})
+    placed = numbered(others, "_place", F.col("_hard"), F.col("_key"), F.col("tile_id"))
+    kept = placed.join(F.broadcast(n), F.lit(True)).where(F.col("_place") < F.col("n"))  # one row
+    return tiles.where("sampling_class = 'positive'").unionByName(kept.select(tiles.columns))

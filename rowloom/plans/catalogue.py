@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rowloom.plans import audit_queries, line_queries, network_queries, raster_queries, table_queries
+from rowloom.plans import audit_queries, line_queries, network_queries, raster_queries, shape_queries, table_queries
 
-QUERIES = line_queries.QUERIES | network_queries.QUERIES | raster_queries.QUERIES | table_queries.QUERIES | audit_queries.QUERIES
-ORACLES = line_queries.ORACLES | network_queries.ORACLES | raster_queries.ORACLES | table_queries.ORACLES | audit_queries.ORACLES
+_PARTS = (line_queries, network_queries, raster_queries, table_queries, audit_queries, shape_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

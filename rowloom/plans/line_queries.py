@@ -111,14 +111,21 @@ def _rate(window: float) -> str:
 
 
 _DIST = "c AS (SELECT *, sum(step) OVER (PARTITION BY line_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS dist FROM t)"
-_POINTS = f"""WITH {_segments("v_polys")}, {_DIST},
+
+
+def points_sql(view: str, spacing: float) -> str:
+    """DuckDB: p(line_id, k, dist, x0, y0, x1, y1, u), the even samples of a view's lines; begins a WITH clause."""
+    return f"""WITH {_segments(view)}, {_DIST},
 s AS (SELECT line_id, pos, x AS x0, y AS y0, nx AS x1, ny AS y1, dist AS d0, lead(dist) OVER (PARTITION BY line_id ORDER BY pos) AS d1, max(dist) OVER (PARTITION BY line_id) AS length FROM c),
-n AS (SELECT *, greatest(2, ceil(length / {SPACING})::INT + 1) AS n FROM s WHERE length > 0 AND d1 > d0),
+n AS (SELECT *, greatest(2, ceil(length / {spacing!r}::DOUBLE)::INT + 1) AS n FROM s WHERE length > 0 AND d1 > d0),
 g AS (SELECT *, length / (n - 1) AS gap FROM n),
 f AS (SELECT *, unnest(range(ceil(d0 / gap)::INT, least(CASE WHEN d1 = length THEN n - 1 ELSE ceil(d1 / gap)::INT - 1 END, n - 1) + 1))::INT AS k FROM g),
 p AS (SELECT line_id, k, k * gap AS dist, x0, y0, x1, y1, greatest(0.0, least(1.0, (k * gap - d0) / (d1 - d0))) AS u FROM f) """
 
 
+_POINTS = points_sql("v_polys", SPACING)
+
+
 def _filter(weights: list[float]) -> str:
     first = "first_value(y) OVER (PARTITION BY line_id ORDER BY pos)"
     last = "last_value(y) OVER (PARTITION BY line_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
