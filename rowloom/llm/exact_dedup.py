@@ -20,7 +20,7 @@ from rowloom.sources.tables import table
 #: Characters of a text that go into a splitter: splitters stay small however long the texts.
 SPLITTER_CHARS = 32
 #: A text with fewer copies than this is never hot.
-LEAST_HOT = 1000
+LEAST_HOT = 128
 
 
 def _runs(*keys: str) -> Column:
