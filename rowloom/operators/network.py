@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.scalar import angle_difference, axial_bearing, point_segment_distance, turn_degrees
@@ -30,9 +30,13 @@ class Spacing:
 
 
 def pair_scores(rows: DataFrame, spacing: Spacing, preliminary: bool = False) -> DataFrame:
-    """Measures of neighbouring rows with inside (distance of a pair), inter, ok and confidence (9 digits)."""
+    """scores() of neighbouring straight rows."""
     reach = spacing.intra_max + spacing.tolerance if preliminary else spacing.reach
-    m = spatial.pair_measures(spatial.near_pairs(rows, reach, cell=max(8.0, reach)))
+    return scores(spatial.pair_measures(spatial.near_pairs(rows, reach, cell=max(8.0, reach))), spacing, preliminary)
+
+
+def scores(measures: DataFrame, spacing: Spacing, preliminary: bool = False) -> DataFrame:
+    """Measures (i, j, distance, angle, overlap) with inter, ok and confidence (9 digits)."""
     d, a, o = F.col("distance"), F.col("angle"), F.col("overlap")
     inside = d.between(spacing.intra_min - spacing.tolerance, spacing.intra_max + spacing.tolerance)
     inter = d.between(spacing.inter_min - spacing.tolerance, spacing.inter_max + spacing.tolerance) if not preliminary else F.lit(False)
@@ -40,16 +44,21 @@ def pair_scores(rows: DataFrame, spacing: Spacing, preliminary: bool = False) ->
     one = F.lit(1.0)
     score = 0.40 * (1 - F.least(one, F.abs(d - middle) / half)) + 0.25 * (1 - F.least(one, a / spacing.max_angle)) + 0.35 * F.least(one, o)
     ok = inside & (a <= spacing.max_angle) & (o >= spacing.min_overlap)
-    return m.select("i", "j", "distance", "angle", "overlap", inter.alias("inter"), ok.alias("ok"), F.round(F.when(inside, score).otherwise(0.0), 9).alias("confidence"))
+    return measures.select("i", "j", "distance", "angle", "overlap", inter.alias("inter"), ok.alias("ok"), F.round(F.when(inside, score).otherwise(0.0), 9).alias("confidence"))
 
 
 def pair_rows(rows: DataFrame, spacing: Spacing, preliminary: bool = False) -> DataFrame:
-    """A row for each row: row_id, pair_id, pair_status, inter_status, neighbour measures.
+    """assign() for straight rows."""
+    return assign(rows.select("id"), pair_scores(rows, spacing, preliminary), spacing)
+
+
+def assign(ids: DataFrame, scored: DataFrame, spacing: Spacing) -> DataFrame:
+    """A row for each id: row_id, pair_id, pair_status, inter_status, neighbour measures.
 
     Valid candidates are matched greedily by confidence, then i and j; pair numbers follow that order
     from 1. Others get the reason of their best failed candidate (of equal confidence the first by j).
     """
-    scores = cut(pair_scores(rows, spacing, preliminary))
+    scores = cut(scored)
     order = (F.desc("confidence"), F.asc("i"), F.asc("j"))
     matched = graph.greedy_matching(scores.where("ok"), -F.col("confidence"), F.col("i"), F.col("j"))
     pairs = cut(numbered(matched, "pair_id", *order).withColumn("pair_id", F.col("pair_id") + 1))
@@ -59,7 +68,7 @@ def pair_rows(rows: DataFrame, spacing: Spacing, preliminary: bool = False) -> D
         both.where("NOT ok").groupBy("row_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "other", "distance", "angle", "overlap")).alias("f"))
     )
     contact = both.groupBy("row_id").agg(F.max("inter").alias("inter"))
-    every = rows.select(F.col("id").alias("row_id")).join(ends, "row_id", "left").join(failed, "row_id", "left").join(contact, "row_id", "left")
+    every = ids.select(F.col("id").alias("row_id")).join(ends, "row_id", "left").join(failed, "row_id", "left").join(contact, "row_id", "left")
     d, o, a = F.col("f.distance"), F.col("f.overlap"), F.col("f.angle")
     reason = (
         F.when(F.col("f").isNull(), "unmatched")
@@ -279,6 +288,3 @@ def contacts_added(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pairs of lines (a, b) that touch after a change and did not before."""
     return after.select("a", "b").join(before.select("a", "b"), ["a", "b"], "left_anti")
 
-
-def empty_links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a long, b long")

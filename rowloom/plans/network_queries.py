@@ -149,14 +149,13 @@ _DOUBLED = f"""SELECT * FROM ({_ROWS}) UNION ALL SELECT row_id + 1000000, x0, y0
 UNION ALL SELECT row_id + 2000000, x0 + 1, y0 + 0.21::DOUBLE, x1, y1 + 0.21::DOUBLE FROM v_rows WHERE row_id % 8 = 0"""
 _S = SPACING
 _MID, _HALF = (_S.intra_min + _S.intra_max) / 2, (_S.intra_max - _S.intra_min) / 2 + _S.tolerance
-_SCORES = f"""{_measures(_ROWS, _S.reach)},
-sc AS MATERIALIZED (SELECT i, j, distance, angle, overlap, distance BETWEEN {_S.inter_min - _S.tolerance!r}::DOUBLE AND {_S.inter_max + _S.tolerance!r}::DOUBLE AS inter,
+_SC = f"""sc AS MATERIALIZED (SELECT i, j, distance, angle, overlap, distance BETWEEN {_S.inter_min - _S.tolerance!r}::DOUBLE AND {_S.inter_max + _S.tolerance!r}::DOUBLE AS inter,
         ins AND angle <= {_S.max_angle} AND overlap >= {_S.min_overlap} AS ok,
         round(CASE WHEN ins THEN 0.40::DOUBLE * (1 - least(1.0, abs(distance - {_MID!r}::DOUBLE) / {_HALF!r}::DOUBLE)) + 0.25::DOUBLE * (1 - least(1.0, angle / {_S.max_angle})) + 0.35::DOUBLE * least(1.0, overlap) ELSE 0 END, 9) AS confidence
         FROM (SELECT *, distance BETWEEN {_S.intra_min - _S.tolerance!r}::DOUBLE AND {_S.intra_max + _S.tolerance!r}::DOUBLE AS ins FROM m))"""
-# a greedy pass, one candidate a step; the rows matched so far are kept in a list
-_GREEDY = f"""{_SCORES},
-cand AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY confidence DESC, i, j) AS k FROM sc WHERE ok),
+_SCORES = f"{_measures(_ROWS, _S.reach)}, {_SC}"
+# a greedy pass over sc, one candidate a step; the rows matched so far are kept in a list
+_MATCH = f"""cand AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY confidence DESC, i, j) AS k FROM sc WHERE ok),
 walk(k, used, pair_id) AS (SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT
   UNION ALL SELECT c.k, CASE WHEN list_contains(used, c.i) OR list_contains(used, c.j) THEN used ELSE list_concat(used, [c.i, c.j]) END,
          CASE WHEN list_contains(used, c.i) OR list_contains(used, c.j) THEN pair_id ELSE pair_id + 1 END FROM walk w JOIN cand c ON c.k = w.k + 1),
@@ -169,6 +168,7 @@ asg AS (SELECT v.row_id, pair_id, CASE WHEN pair_id IS NOT NULL THEN 'valid_pair
         WHEN f.d > {_S.intra_max + _S.tolerance!r}::DOUBLE THEN 'unmatched' WHEN f.v < {_S.min_overlap} THEN 'insufficient_overlap' WHEN f.a > {_S.max_angle} THEN 'invalid_angle' ELSE 'possible_pair' END AS pair_status,
         CASE WHEN coalesce(inter, false) THEN 'neighbor_found' ELSE 'no_neighbor' END AS inter_status
         FROM v_rows v LEFT JOIN ends USING (row_id) LEFT JOIN fl USING (row_id) LEFT JOIN ct USING (row_id))"""
+_GREEDY = f"{_SCORES}, {_MATCH}"
 _TOP2 = f"""{_measures(_ROWS, 4.0)}, ok AS (SELECT i, j, distance FROM m WHERE angle <= 10 AND overlap >= 0.35), bo AS (SELECT * FROM ok UNION ALL SELECT j, i, distance FROM ok),
 top AS (SELECT i, rank::INT AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM bo) WHERE rank <= 2)"""
 

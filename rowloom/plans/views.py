@@ -57,6 +57,27 @@ def v_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return f.select((F.col("row_id") * 3 + F.col("n")).alias("fragment_id"), x0.alias("x0"), y.alias("y0"), (x0 + 12.0).alias("x1"), y.alias("y1"))
 
 
+def _bent(straight: DataFrame, vertices: int) -> DataFrame:
+    """(line_id, pos, x, y): straight rows (line_id, x0, y0, x1, y1) with that many vertices, a little beside their rows."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(vertices - 1))).alias("pos")
+    p = straight.select("*", k).withColumn("t", F.col("pos") / float(vertices - 1))
+    y = F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0")) + ((F.col("line_id") * F.col("pos")) % 3 - 1) * 0.01
+    return p.select("line_id", F.col("pos").cast("long").alias("pos"), (F.col("x0") + F.col("t") * (F.col("x1") - F.col("x0"))).alias("x"), y.alias("y"))
+
+
+def v_bent(spark: SparkSession, sf: str) -> DataFrame:
+    """(line_id, pos, x, y): v_rows with four vertices each; every fourth again .05 aside, every eighth .21 aside and shorter."""
+    r = v_rows(spark, sf).withColumnRenamed("row_id", "line_id")
+    near = r.where("line_id % 4 = 0").select((F.col("line_id") + 1000000).alias("line_id"), "x0", (F.col("y0") + 0.05).alias("y0"), (F.col("x1") - 0.5).alias("x1"), (F.col("y1") + 0.05).alias("y1"))
+    far = r.where("line_id % 8 = 0").select((F.col("line_id") + 2000000).alias("line_id"), (F.col("x0") + 1.0).alias("x0"), (F.col("y0") + 0.21).alias("y0"), "x1", (F.col("y1") + 0.21).alias("y1"))
+    return _bent(r.unionByName(near).unionByName(far), 4)
+
+
+def v_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(line_id, pos, x, y): v_fragments with five vertices each."""
+    return _bent(v_fragments(spark, sf).withColumnRenamed("fragment_id", "line_id"), 5)
+
+
 def v_points(spark: SparkSession, sf: str) -> DataFrame:
     """(id, x, y, grp): the first two components of the embeddings."""
     e = table(spark, sf, "embeddings")
@@ -119,6 +140,11 @@ SQL = {
     "v_fragments": """SELECT row_id * 3 + n AS fragment_id, x0 + n * (12.0::DOUBLE + gap) AS x0, row_id * 5.0::DOUBLE + n * ((row_id % 6) * 0.04::DOUBLE) AS y0,
         x0 + n * (12.0::DOUBLE + gap) + 12.0::DOUBLE AS x1, row_id * 5.0::DOUBLE + n * ((row_id % 6) * 0.04::DOUBLE) AS y1
         FROM (SELECT *, unnest([0, 1, 2]) AS n, (CASE row_id % 4 WHEN 0 THEN 9.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 7.0 END)::DOUBLE AS gap FROM v_rows)""",
+    "v_bent": """SELECT line_id, pos, x0 + pos / 3.0::DOUBLE * (x1 - x0) AS x, y0 + pos / 3.0::DOUBLE * (y1 - y0) + ((line_id * pos) % 3 - 1) * 0.01::DOUBLE AS y FROM (
+        SELECT row_id AS line_id, x0, y0, x1, y1 FROM v_rows UNION ALL SELECT row_id + 1000000, x0, y0 + 0.05::DOUBLE, x1 - 0.5::DOUBLE, y1 + 0.05::DOUBLE FROM v_rows WHERE row_id % 4 = 0
+        UNION ALL SELECT row_id + 2000000, x0 + 1.0::DOUBLE, y0 + 0.21::DOUBLE, x1, y1 + 0.21::DOUBLE FROM v_rows WHERE row_id % 8 = 0), (SELECT unnest(range(0, 4)) AS pos)""",
+    "v_parts": """SELECT fragment_id AS line_id, pos, x0 + pos / 4.0::DOUBLE * (x1 - x0) AS x, y0 + pos / 4.0::DOUBLE * (y1 - y0) + ((fragment_id * pos) % 3 - 1) * 0.01::DOUBLE AS y
+        FROM v_fragments, (SELECT unnest(range(0, 5)) AS pos)""",
     "v_points": "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label % 2 AS grp FROM embeddings",
     "v_pixels": """SELECT l_quantity::INT - 1 AS row, l_partkey::INT AS col, max(l_discount) * 10 AS p FROM lineitem GROUP BY 1, 2""",
     "v_scores": "SELECT round(l_discount * 1000)::BIGINT AS p, (l_returnflag = 'R')::INT AS y FROM lineitem",
@@ -129,7 +155,7 @@ SQL = {
     "v_lineage": """SELECT conv_id AS line_id, conv_id % 20 AS grp, CASE conv_id % 3 WHEN 0 THEN '["' || b || '","' || a || '","' || b || '"]' WHEN 1 THEN b || ' , ' || a ELSE a END AS ids
         FROM (SELECT conv_id, 'raw_' || (conv_id % 50)::VARCHAR AS a, 'raw_' || (max(turn) + 3)::VARCHAR AS b FROM conversations GROUP BY conv_id)""",
 }
-_NEEDS = {"v_fragments": ["v_rows"]}
+_NEEDS = {"v_fragments": ["v_rows"], "v_bent": ["v_rows"], "v_parts": ["v_rows", "v_fragments"]}
 
 
 def with_views(query: str, *names: str, recursive: bool = False) -> str:
