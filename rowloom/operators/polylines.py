@@ -274,7 +274,7 @@ def merge_tracks(v: DataFrame, tracks: DataFrame, pairs: DataFrame) -> DataFrame
     """(line_id, pos, x, y, track_fragment_count): the lines of a track as one where they end on each other's ends and form one
     simple way without a branch, and have at most one pair number; other lines stay as they are (count 1).
 
-    A merged line has the number of its longest part (ties: the smallest) and begins at its end with the smaller place.
+    A merged line has the number of its longest part (ties: the smallest) and runs as its smallest part does.
     """
     s = shapes(v).select("line_id", "length", F.struct(F.round("a.x", 9).alias("x"), F.round("a.y", 9).alias("y")).alias("a"), F.struct(F.round("b.x", 9).alias("x"), F.round("b.y", 9).alias("y")).alias("b"))
     m = s.join(tracks.select("line_id", "track_id"), "line_id").join(pairs.select("line_id", "pair_id"), "line_id", "left")
@@ -288,38 +288,15 @@ def merge_tracks(v: DataFrame, tracks: DataFrame, pairs: DataFrame) -> DataFrame
     links = joint.groupBy("track_id", "name", "e").agg(F.min("line_id").alias("a"), F.max("line_id").alias("b")).where("a <> b")
     roots = graph.connected_components(links.select("a", "b"))
     whole = joint.select("track_id", "name", "line_id").distinct().join(roots, F.col("line_id") == F.col("v"), "left").groupBy("track_id", "name").agg(F.count_distinct(F.coalesce("root", "line_id")).alias("parts"), F.count(F.lit(1)).alias("n"))
-    whole = cut(whole.where("parts = 1").select("track_id", "name", "n"))
-    placed = cut(_along_ways(m.join(whole, "track_id"), ends.join(whole, "track_id")))
-    simple = _simple(v.join(placed, "line_id").select(F.col("name").alias("line_id"), (F.col("place") * (1 << 32) + F.when(F.col("back"), (1 << 31) - F.col("pos")).otherwise(F.col("pos"))).alias("pos"), "x", "y"))
-    kept = placed.join(simple.withColumnRenamed("line_id", "name"), "name")
-    p = v.join(kept, "line_id", "left")
-    at = F.struct(F.coalesce("place", F.lit(0)).alias("k"), F.when(F.coalesce("back", F.lit(False)), -F.col("pos")).otherwise(F.col("pos")).alias("pos"))
-    p = p.select(F.coalesce("name", "line_id").alias("line_id"), at.alias("at"), "x", "y", F.coalesce("n", F.lit(1)).cast("long").alias("track_fragment_count"))
-    path = Window.partitionBy("line_id").orderBy("at")
-    again = (F.lag("x").over(path) == F.col("x")) & (F.lag("y").over(path) == F.col("y"))
-    p = p.withColumn("_again", again & (F.lag("at").over(path)["k"] != F.col("at.k"))).where("_again IS NULL OR NOT _again")
-    return p.select("line_id", (F.row_number().over(path) - 1).cast("long").alias("pos"), "x", "y", "track_fragment_count")
-
-
-def _along_ways(members: DataFrame, ends: DataFrame) -> DataFrame:
-    """(name, n, line_id, place, back): the lines of simple ways in order from the smaller loose end, by walking all ways one line a round."""
-    start = ends.where("degree = 1").groupBy("track_id").agg(F.min("e").alias("at"))
-    steps = members.select("track_id", "name", "n", "line_id", F.col("a").alias("at"), F.col("b").alias("to"), F.lit(False).alias("back")).unionByName(
-        members.select("track_id", "name", "n", "line_id", F.col("b").alias("at"), F.col("a").alias("to"), F.lit(True).alias("back"))
-    )
-    steps = cut(steps)
-    now = cut(start.withColumn("last", F.lit(None).cast("long")))
-    out, place = None, 0
-    while True:
-        taken = cut(now.join(steps, ["track_id", "at"]).where("last IS NULL OR line_id <> last"))
-        if taken.isEmpty():
-            break
-        part = taken.select("name", "n", "line_id", F.lit(place).cast("long").alias("place"), "back")
-        out = part if out is None else out.unionByName(part)
-        now = taken.select("track_id", F.col("to").alias("at"), F.col("line_id").alias("last"))
-        place += 1
-    empty = steps.select("name", "n", "line_id", F.lit(0).cast("long").alias("place"), "back").limit(0)
-    return empty if out is None else out
+    whole = cut(whole.where("parts = 1").select("track_id", "name"))
+    from rowloom.operators import bridging
+
+    members = m.join(whole, "track_id").select("line_id", F.col("track_id").alias("root"), F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    order = cut(bridging.way_order(members).join(whole.withColumnRenamed("track_id", "root"), "root").drop("root").withColumnRenamed("name", "root"))
+    made = cut(bridging.joined(v, order))
+    good = _simple(made.where("n_parts > 1")).select("line_id")
+    kept = order.join(good.withColumnRenamed("line_id", "root"), "root", "left_semi")
+    return bridging.joined(v, kept).withColumnRenamed("n_parts", "track_fragment_count")
 
 
 def _simple(v: DataFrame) -> DataFrame:
