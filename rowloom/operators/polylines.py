@@ -232,17 +232,23 @@ def choose_references(v: DataFrame, tracks: DataFrame, pairs: DataFrame, reach:
 
 def oriented(v: DataFrame, tracks: DataFrame) -> DataFrame:
     """(line_id, track_id, pos, x, y, s, o): lines turned to run along their track, whose direction is the median of the
-    lines' chord bearings, with the places s along it and o across it."""
+    lines' chord bearings, with the places s along it and o across it.
+
+    Bearings are taken from their axial mean, so that those around 0 and 180 degrees are neighbours.
+    """
     chord = v.groupBy("line_id").agg(*[f(c, "pos").alias(f"{n}{c}") for c in "xy" for n, f in (("a", F.min_by), ("b", F.max_by))], F.max("pos").alias("last"))
     chord = chord.join(tracks.select("line_id", "track_id"), "line_id").withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})
-    middle = chord.groupBy("track_id").agg(F.radians(F.median(axial_bearing(F.col("dx"), F.col("dy")))).alias("t"))
+    chord = chord.withColumn("q", axial_bearing(F.col("dx"), F.col("dy")))
+    mean = chord.groupBy("track_id").agg(F.degrees(0.5 * F.atan2(F.sum(F.sin(F.radians(2 * F.col("q")))), F.sum(F.cos(F.radians(2 * F.col("q")))))).alias("mean"))
+    aside = F.pmod(F.col("q") - F.col("mean") + 90.0, F.lit(180.0)) - 90.0
+    middle = chord.join(mean, "track_id").groupBy("track_id").agg(F.radians(F.pmod(F.max("mean") + F.median(aside), F.lit(180.0))).alias("t"))
     turned = chord.join(middle, "track_id").select("line_id", "track_id", "t", "last", (F.col("dx") * F.cos("t") + F.col("dy") * F.sin("t") < 0).alias("back"))
     p = v.join(turned, "line_id").withColumn("pos", F.when(F.col("back"), F.col("last") - F.col("pos")).otherwise(F.col("pos")))
     return p.select("line_id", "track_id", "pos", "x", "y", (F.col("x") * F.cos("t") + F.col("y") * F.sin("t")).alias("s"), (F.col("y") * F.cos("t") - F.col("x") * F.sin("t")).alias("o"))
 
 
 def bridge_tracks(v: DataFrame, tracks: DataFrame, max_gap: float = 6.0, max_lateral: float = 0.25, step: float = 0.5) -> DataFrame:
-    """(line_id, pos, x, y, n_parts): lines of a track joined end to start where the gap allows, named by their first line.
+    """(line_id, pos, x, y, n_parts): lines of a track joined end to start where the gap allows, named by their smallest line.
 
     Lines of a track follow each other by the place of their starts along it (ties by number); a line joins the one before
     if it starts at most half a metre before that one's end and max_gap behind, and max_lateral aside.
@@ -256,7 +262,7 @@ def bridge_tracks(v: DataFrame, tracks: DataFrame, max_gap: float = 6.0, max_lat
     joins = F.coalesce(gap.between(-0.5, max_gap) & (off <= max_lateral), F.lit(False))
     m = ends.select("track_id", "line_id", "a", F.when(joins, before).alias("from"), F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.row_number().over(w).alias("place"))
     chain = Window.partitionBy("track_id", "run")
-    m = m.select("line_id", "a", "from", "place", F.min_by("line_id", "place").over(chain).alias("chain"), F.count(F.lit(1)).over(chain).alias("n_parts"))
+    m = m.select("line_id", "a", "from", "place", F.min("line_id").over(chain).alias("chain"), F.count(F.lit(1)).over(chain).alias("n_parts"))
     own = p.select("line_id", "pos", "x", "y").join(m.select("line_id", "chain", "place", "n_parts"), "line_id").select("chain", "n_parts", F.struct("place", F.lit(1).alias("own"), "pos").alias("at"), "x", "y")
     size = F.hypot(F.col("a.x") - F.col("from.x"), F.col("a.y") - F.col("from.y"))
     k = F.greatest(F.lit(2), F.ceil(size / step).cast("int") + 1)
