@@ -43,8 +43,15 @@ def turns(v: DataFrame, k: int = 1) -> DataFrame:
     return at.withColumn("turn", turn_degrees(*a)).withColumn("bend", F.when(F.col("turn").isNotNull(), F.degrees(signed_turn(*a)))).drop("_ax", "_ay", "_bx", "_by")
 
 
-def quality(v: DataFrame, good_length: float = 4.0, least_length: float = 1.0, max_turn: float = 10.0, max_p95: float = 6.0, kink: float = 12.0, max_kinks: float = 0.02) -> DataFrame:
-    """A row for each line: sizes, turn statistics and class GOOD, SUSPECT or INVALID."""
+def quality(
+    v: DataFrame, good_length: float = 4.0, least_length: float = 1.0, max_turn: float = 10.0, max_p95: float = 6.0, kink: float = 12.0, max_kinks: float = 0.02,
+    knotted: DataFrame | None = None, probability: DataFrame | None = None, least_probability: float = 0.20,
+) -> DataFrame:
+    """A row for each line: sizes, turn statistics and class GOOD, SUSPECT or INVALID.
+
+    knotted (line_id): lines that meet themselves, which are not GOOD. probability (line_id, median): a line is GOOD only
+    if its median is unknown or least_probability at least.
+    """
     m = turns(along(v)).groupBy("line_id").agg(
         F.count(F.lit(1)).alias("n_vertices"),
         F.sum("step").alias("length"),
@@ -54,14 +61,35 @@ def quality(v: DataFrame, good_length: float = 4.0, least_length: float = 1.0, m
         F.coalesce(F.avg(F.when(F.col("turn").isNotNull(), (F.col("turn") > kink).cast("double"))), F.lit(0.0)).alias("kink_fraction"),
     )
     good = (F.col("length") >= good_length) & (F.col("max_turn") <= max_turn) & (F.col("p95_turn") <= max_p95) & (F.col("kink_fraction") <= max_kinks)
+    if knotted is not None:
+        m = m.join(knotted.select("line_id", F.lit(True).alias("_knot")).distinct(), "line_id", "left")
+        good = good & F.col("_knot").isNull()
+    if probability is not None:
+        m = m.join(probability.select("line_id", F.col("median").alias("_median")), "line_id", "left")
+        good = good & (F.col("_median").isNull() | F.isnan("_median") | (F.col("_median") >= least_probability))
     cls = F.when(good, "GOOD").when((F.col("n_vertices") >= 2) & (F.col("length") >= least_length), "SUSPECT").otherwise("INVALID")
     ratio = F.when(F.col("length") > 0, F.col("chord") / F.col("length")).otherwise(F.lit(0.0))
     return m.select("line_id", "n_vertices", "length", ratio.alias("chord_ratio"), "max_turn", "p95_turn", "kink_fraction", cls.alias("quality"))
 
 
-def bearing_pca(v: DataFrame) -> DataFrame:
-    """Bearing of each line's main axis over all its vertices."""
-    m = v.groupBy("line_id").agg(F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"))
+#: A vertex sample of a line has at most so many points.
+SAMPLES = 20
+
+
+def vertex_samples(v: DataFrame, most: int = SAMPLES) -> DataFrame:
+    """(line_id, pos, x, y): at most most vertices of each line, even by number, the ends included."""
+    n = v.select("*", F.count(F.lit(1)).over(Window.partitionBy("line_id")).alias("n"))
+    m = F.least(F.lit(most), F.col("n"))
+    # the vertex at pos is the sample of the k whose index it is: k is one of two whole numbers beside pos * (m - 1) / (n - 1)
+    gap = (F.col("n") - 1) / F.greatest(m - 1, F.lit(1))
+    k = F.ceil(F.col("pos") / F.greatest(gap, F.lit(1e-9)) - 1e-9)
+    hit = lambda q: (q >= 0) & (q < m - 1) & (F.floor(q * gap) == F.col("pos"))
+    return n.where((F.col("n") <= most) | hit(k) | hit(k + 1) | (F.col("pos") == F.col("n") - 1)).select("line_id", "pos", "x", "y")
+
+
+def bearing_pca(v: DataFrame, most: int = SAMPLES) -> DataFrame:
+    """Bearing of each line's main axis over at most most of its vertices, even by number."""
+    m = vertex_samples(v, most).groupBy("line_id").agg(F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"))
     return m.select("line_id", pca_bearing(F.col("sxx"), F.col("syy"), F.col("sxy")).alias("bearing_deg"))
 
 

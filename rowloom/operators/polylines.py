@@ -14,21 +14,6 @@ from rowloom.functions.scalar import angle_difference, axial_bearing, pca_bearin
 from rowloom.operators import graph, lines, network, spatial
 from rowloom.operators.durable import cut, numbered, settled
 
-#: A vertex sample of a line has at most so many points.
-SAMPLES = 20
-
-
-def vertex_samples(v: DataFrame, most: int = SAMPLES) -> DataFrame:
-    """(line_id, pos, x, y): at most most vertices of each line, even by number, the ends included."""
-    n = v.select("*", F.count(F.lit(1)).over(Window.partitionBy("line_id")).alias("n"))
-    m = F.least(F.lit(most), F.col("n"))
-    # the vertex at pos is the sample of the k whose index it is: k is one of two whole numbers beside pos * (m - 1) / (n - 1)
-    gap = (F.col("n") - 1) / F.greatest(m - 1, F.lit(1))
-    k = F.ceil(F.col("pos") / F.greatest(gap, F.lit(1e-9)) - 1e-9)
-    hit = lambda q: (q >= 0) & (q < m) & (F.floor(q * gap) == F.col("pos"))
-    return n.where((F.col("n") <= most) | hit(k) | hit(k + 1)).select("line_id", "pos", "x", "y")
-
-
 def shapes(v: DataFrame) -> DataFrame:
     """A row for each line of two vertices or more: n, length, its ends a and b, the outward vectors there, and the bearing
     of the main axis of its vertices (all, and a sample)."""
@@ -41,7 +26,7 @@ def shapes(v: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), first.alias("a"), last.alias("b"),
         pca_bearing(F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).alias("bearing"),
     )
-    axis = vertex_samples(v).groupBy("line_id").agg(pca_bearing(F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).alias("bearing20"))
+    axis = lines.vertex_samples(v).groupBy("line_id").agg(pca_bearing(F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).alias("bearing20"))
     return own.where("n >= 2").join(axis, "line_id")
 
 
@@ -60,7 +45,7 @@ def near_lines(v: DataFrame, radius: float, cell: float, others: DataFrame | Non
     return p.groupBy(F.col("l.id").alias("i"), F.col("r.id").alias("j")).agg(F.min("_d").alias("nearest"))
 
 
-def even_points(v: DataFrame, most: int = SAMPLES) -> DataFrame:
+def even_points(v: DataFrame, most: int = lines.SAMPLES) -> DataFrame:
     """(line_id, k, x, y): points at even arc lengths, as many as whole metres but two at least and most at most; the ends included."""
     s = lines.segments(v).where("length > 0 AND d1 > d0")
     n = F.greatest(F.lit(2), F.least(F.lit(most), F.floor("length").cast("int")))
@@ -98,7 +83,7 @@ def measures(v: DataFrame, pairs: DataFrame, by_vertices: bool = False) -> DataF
     # settled: conditions on the measures stay above the joins
     both = settled(both.withColumn("angle", angle_difference(F.col("ibearing20"), F.col("jbearing20"))), "angle")
     targets = both.select("p", "t")
-    points = vertex_samples(v).withColumnRenamed("pos", "k") if by_vertices else even_points(v)
+    points = lines.vertex_samples(v).withColumnRenamed("pos", "k") if by_vertices else even_points(v)
     d = against(points, targets, v).groupBy("p", "t").agg(
         F.median("d").alias("distance"), F.avg("d").alias("mean"), F.abs(F.max_by("at", "k") - F.min_by("at", "k")).alias("span")
     )
@@ -140,9 +125,10 @@ def evenly(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return rows
     placed = numbered(rows, "_place", F.col(key))
-    k = F.ceil(F.col("_place") * ((most - 1) / (n - 1)) - 1e-9)
-    hit = lambda q: (q >= 0) & (q < most) & (F.floor(q * ((n - 1) / (most - 1))) == F.col("_place"))
-    return placed.where(hit(k) | hit(k + 1)).drop("_place")
+    gap = (n - 1) / (most - 1)
+    k = F.ceil(F.col("_place") / gap - 1e-9)
+    hit = lambda q: (q >= 0) & (q < most - 1) & (F.floor(q * gap) == F.col("_place"))
+    return placed.where(hit(k) | hit(k + 1) | (F.col("_place") == n - 1)).drop("_place")
 
 
 def duplicate_links(v: DataFrame, max_distance: float = 0.20, max_angle: float = 5.0, min_overlap: float = 0.70, cell: float = 8.0) -> DataFrame:

@@ -123,24 +123,37 @@ def knn(points: DataFrame, k: int, radius: float) -> DataFrame:
     return p.where(F.col("gap") <= radius).withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", "rank", "gap")
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float, rounds: int = 40) -> DataFrame:
-    """(id, other, d): the nearest point of right for each of left (id, x, y), ties by id.
+#: Into so many parts a side of a cell is cut to bound a point's nearest distance.
+FINER = 16
 
-    Cells around a point are searched ring by ring, the radius doubling for points that have found
-    nothing near enough; right is dealt to cells of that size each time.
+
+def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(id, other, d): the nearest point of right for each of left (id, x, y), ties by id; no rows if right has none.
+
+    Cells around a point are searched, the radius doubling for points that have found nothing near
+    enough, until all have. For points far from all of right a cell would hold much of it, so they first
+    meet one point of each sixteenth of a cell, which bounds their distance, and then
+    only the points of sixteenths that lie within the bound.
     """
     found = None
     open_ = left.select("id", "x", "y")
     size = cell
-    bounds = right.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
-    if not bounds.n:
+    if right.isEmpty():
         return left.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("d")).limit(0)
-    for _ in range(rounds):
-        r = right.select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    while True:
+        fine = size / FINER
+        r = right.select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.floor(F.col("x") / fine).cast("long").alias("fx"), F.floor(F.col("y") / fine).cast("long").alias("fy"))
+        one = r.groupBy("fx", "fy").agg(F.min(F.struct("other", "rx", "ry")).alias("p"))
+        one = one.select("fx", "fy", "p.rx", "p.ry", F.floor(F.col("fx") / FINER).alias("cx"), F.floor(F.col("fy") / FINER).alias("cy"))
         around = lambda c: F.explode(F.expr(f"transform(sequence(-1, 1), o -> floor({c} / {size!r}D) + o)"))
         q = open_.withColumn("cx", around("x")).withColumn("cy", around("y"))
-        d = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
-        near = q.join(r, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= size)
+        met = q.join(one, ["cx", "cy"])
+        bound = met.groupBy("id", "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).alias("bound"), F.collect_list(F.struct("fx", "fy")).alias("cells"))
+        # a cell's nearest place, against the bound (or the radius that is safe, if smaller)
+        gap = lambda c, k: F.greatest(k * fine - F.col(c), F.col(c) - (k + 1) * fine, F.lit(0.0))
+        reach = F.least(F.col("bound"), F.lit(float(size))) * (1 + 1e-9)
+        near = bound.select("id", "x", "y", F.explode(F.filter("cells", lambda k: F.hypot(gap("x", k["fx"]), gap("y", k["fy"])) <= reach)).alias("k")).select("id", "x", "y", "k.fx", "k.fy")
+        near = near.join(r, ["fx", "fy"]).withColumn("d", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).where(F.col("d") <= size)
         got = cut(near.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", F.col("m.other").alias("other"), F.col("m.d").alias("d")))
         found = got if found is None else found.unionByName(got)
         open_ = cut(open_.join(got, "id", "left_anti"))

@@ -154,7 +154,8 @@ ORACLES = {
         "v_lines",
     ),
     "line_bearing_pca": with_views(
-        f"""SELECT line_id, {_r("(degrees(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))) + 180) % 180", "bearing_deg")} FROM v_lines GROUP BY line_id""", "v_lines"
+        f"""SELECT line_id, {_r("(degrees(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))) + 180) % 180", "bearing_deg")} FROM (
+        SELECT *, count(*) OVER (PARTITION BY line_id) AS n FROM v_lines) WHERE n <= 20 OR pos = n - 1 OR pos IN (SELECT floor(k * ((n - 1) / 19.0::DOUBLE))::BIGINT FROM (SELECT unnest(range(0, 19)) AS k)) GROUP BY line_id""", "v_lines"
     ),
     "line_bearing_chord": with_views(
         f"""SELECT line_id, {_r("(degrees(atan2(arg_max(y, pos) - arg_min(y, pos), arg_max(x, pos) - arg_min(x, pos))) + 360) % 180", "bearing_deg")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowloom.operators import lines, polylines
 from rowloom.plans.line_queries import _r, rounded
 from rowloom.plans.network_queries import _MATCH, _SC, SPACING, _psd, _two_medians
-from rowloom.plans.views import v_bent, v_parts, with_views
+from rowloom.plans.views import v_bent, v_parts, v_polys, with_views
 
 RANGES = ("intra_center", "inter_center", "intra_min", "intra_max", "inter_min", "inter_max")
 
@@ -43,6 +43,13 @@ def polyline_tracks(s: SparkSession, d: str) -> DataFrame:
     return rounded(found, "bearing", "total_length")
 
 
+def polyline_quality(s: SparkSession, d: str) -> DataFrame:
+    """Quality of the orders' lines; one that meets itself is not GOOD."""
+    v = v_polys(s, d).withColumns({"x": F.col("x") * 0.2 * (1 + F.col("pos") % 2), "y": F.col("y") * 0.2})
+    q = lines.quality(v, max_turn=170.0, max_p95=170.0, kink=170.0, knotted=polylines.self_contacts(v, 4.0))
+    return rounded(q.select("line_id", "length", "max_turn", "quality"), "length", "max_turn", digits=4)
+
+
 def _tracks(s: SparkSession, d: str) -> DataFrame:
     return polylines.build_tracks(v_parts(s, d))
 
@@ -75,7 +82,7 @@ def polyline_displacement(s: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    polyline_pair_candidates, polyline_pairs, polyline_spacing, polyline_duplicates, polyline_tracks, polyline_bridges, polyline_contacts, polyline_lineage, polyline_displacement,
+    polyline_pair_candidates, polyline_pairs, polyline_spacing, polyline_duplicates, polyline_quality, polyline_tracks, polyline_bridges, polyline_contacts, polyline_lineage, polyline_displacement,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -138,7 +145,7 @@ ORACLES = {
     "polyline_pairs": with_views(f"WITH RECURSIVE {_SCORED}, {_MATCH} SELECT * FROM asg", "v_bent"),
     "polyline_spacing": with_views(
         f"""WITH {_lines(_ROWS)}, od AS (SELECT line_id, row_number() OVER (ORDER BY line_id) - 1 AS p, count(*) OVER () AS c FROM ln),
-        ch AS (SELECT line_id FROM od WHERE c <= 300 OR p IN (SELECT floor(k * ((c - 1) / 299.0::DOUBLE))::BIGINT FROM (SELECT unnest(range(0, 300)) AS k), (SELECT any_value(c) AS c FROM od))),
+        ch AS (SELECT line_id FROM od WHERE c <= 300 OR p = c - 1 OR p IN (SELECT floor(k * ((c - 1) / 299.0::DOUBLE))::BIGINT FROM (SELECT unnest(range(0, 299)) AS k), (SELECT any_value(c) AS c FROM od))),
         {_near(2.5)}, {_EVEN}, {_measured('ev')}, ok AS (SELECT i, j, distance FROM m WHERE angle <= 10 AND overlap >= 0.35 AND distance > 0 AND distance <= 2.5),
         bt AS (SELECT * FROM ok UNION ALL SELECT j, i, distance FROM ok), top AS (SELECT distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS k FROM bt WHERE i IN (FROM ch)) WHERE k <= 2),
         qs AS (SELECT quantile_cont(distance, 0.02) AS lo, quantile_cont(distance, 0.98) AS hi FROM top), v AS MATERIALIZED (SELECT distance AS v FROM top, qs WHERE distance BETWEEN lo AND hi), {_two_medians(10)},
@@ -167,6 +174,15 @@ ORACLES = {
         SELECT line_id, track_id, {_r('bearing')}, {_r('total_length')}, track_quality FROM tk JOIN w USING (track_id)""",
         "v_parts",
     ),
+    "polyline_quality": with_views(
+        f"""WITH {_lines('SELECT line_id, pos, x * 0.2::DOUBLE * (1 + pos % 2) AS x, y * 0.2::DOUBLE AS y FROM v_polys')},
+        tn AS (SELECT line_id, CASE WHEN sizes > 0 THEN degrees(acos(greatest(-1.0, least(1.0, dot / sizes)))) END AS t FROM (SELECT line_id, sqrt((x - px) ** 2 + (y - py) ** 2) * sqrt((nx - x) ** 2 + (ny - y) ** 2) AS sizes, (x - px) * (nx - x) + (y - py) * (ny - y) AS dot
+          FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM di WINDOW w AS (PARTITION BY line_id ORDER BY pos)))),
+        tm AS (SELECT line_id, coalesce(max(t), 0) AS mt, coalesce(quantile_cont(t, 0.95), 0) AS p95, coalesce(avg((t > 170)::INT), 0) AS kf FROM tn GROUP BY line_id),
+        kn AS (SELECT DISTINCT l.line_id FROM sg l JOIN sg r ON l.line_id = r.line_id AND l.pos + 1 < r.pos AND {_gap('l', 'r')} <= 1e-12 AND NOT (l.pos = 0 AND r.pos = (SELECT max(pos) FROM sg z WHERE z.line_id = l.line_id) AND l.x0 = r.x1 AND l.y0 = r.y1))
+        SELECT line_id, {_r('length', digits=4)}, {_r('mt', 'max_turn', 4)}, CASE WHEN length >= 4 AND mt <= 170 AND p95 <= 170 AND kf <= 0.02 AND line_id NOT IN (FROM kn) THEN 'GOOD' WHEN n >= 2 AND length >= 1 THEN 'SUSPECT' ELSE 'INVALID' END AS quality FROM ln JOIN tm USING (line_id)""",
+        "v_polys",
+    ),
     "polyline_contacts": with_views(
         f"""WITH {_lines('SELECT * FROM v_bent')}, {_lines('SELECT line_id, pos, x, y + 0.5::DOUBLE * (line_id % 3) AS y FROM v_bent', 'm')},
         {_near(1e-9, 'l.line_id <> r.line_id', 'm').replace('nr AS', 'na AS')}, {_near(1e-9, 'l.line_id <> r.line_id')} SELECT i AS a, j AS b FROM na EXCEPT SELECT i, j FROM nr""",
