@@ -174,6 +174,22 @@ ORACLES = {
         SELECT line_id, track_id, {_r('bearing')}, {_r('total_length')}, track_quality FROM tk JOIN w USING (track_id)""",
         "v_parts",
     ),
+    "polyline_bridges": with_views(
+        f"""WITH RECURSIVE {_TRACKS}, ch AS (SELECT line_id, first(x ORDER BY pos) AS ax, first(y ORDER BY pos) AS ay, last(x ORDER BY pos) AS bx, last(y ORDER BY pos) AS by_, max(pos) AS last FROM vx GROUP BY line_id),
+        cq AS (SELECT *, (degrees(atan2(by_ - ay, bx - ax)) + 360) % 180 AS q FROM ch JOIN tk USING (line_id)), mn AS (SELECT track_id, degrees(0.5 * atan2(sum(sin(radians(2 * q))), sum(cos(radians(2 * q))))) AS mean FROM cq GROUP BY track_id),
+        md AS (SELECT track_id, radians(((any_value(mean) + median((q - mean + 90 + 360) % 180 - 90)) + 360) % 180) AS t FROM cq JOIN mn USING (track_id) GROUP BY track_id),
+        tn AS (SELECT *, (bx - ax) * cos(t) + (by_ - ay) * sin(t) < 0 AS back FROM cq JOIN md USING (track_id)),
+        pp AS (SELECT v.line_id, track_id, CASE WHEN back THEN last - pos ELSE pos END AS pos, x, y, x * cos(t) + y * sin(t) AS s, y * cos(t) - x * sin(t) AS o FROM vx v JOIN tn USING (line_id)),
+        en AS (SELECT track_id, line_id, arg_min({{'x': x, 'y': y, 's': s, 'o': o}}, pos) AS a, arg_max({{'x': x, 'y': y, 's': s, 'o': o}}, pos) AS b FROM pp GROUP BY 1, 2),
+        lg AS (SELECT *, lag(b) OVER (PARTITION BY track_id ORDER BY a.s, line_id) AS f, row_number() OVER (PARTITION BY track_id ORDER BY a.s, line_id) AS place FROM en),
+        jn AS (SELECT *, coalesce(a.s - f.s BETWEEN -0.5 AND 3 AND abs(a.o - f.o) <= 0.5, false) AS j FROM lg), rn AS (SELECT *, sum((NOT j)::INT) OVER (PARTITION BY track_id ORDER BY place) AS run FROM jn),
+        ci AS (SELECT *, min(line_id) OVER (PARTITION BY track_id, run) AS chain, count(*) OVER (PARTITION BY track_id, run) AS n_parts FROM rn),
+        br AS (SELECT *, sqrt((a.x - f.x) ** 2 + (a.y - f.y) ** 2) AS size FROM ci WHERE j), bk AS (SELECT *, greatest(2, ceil(size / 0.5)::INT + 1) AS k FROM br WHERE size > 0.05), bp AS (SELECT *, unnest(range(1, k - 1)) AS i FROM bk),
+        al AS (SELECT chain, n_parts, place, 1 AS own, pos, x, y FROM pp JOIN ci USING (track_id, line_id) UNION ALL SELECT chain, n_parts, place, 0, i, f.x + i / (k - 1) * (a.x - f.x), f.y + i / (k - 1) * (a.y - f.y) FROM bp),
+        mv AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS mv FROM al WINDOW w AS (PARTITION BY chain ORDER BY place, own, pos))
+        SELECT chain AS line_id, row_number() OVER (PARTITION BY chain ORDER BY place, own, pos) - 1 AS pos, {_r('x')}, {_r('y')}, n_parts FROM mv WHERE mv IS NULL OR mv > 1e-4""",
+        "v_parts",
+    ),
     "polyline_quality": with_views(
         f"""WITH {_lines('SELECT line_id, pos, x * 0.2::DOUBLE * (1 + pos % 2) AS x, y * 0.2::DOUBLE AS y FROM v_polys')},
         tn AS (SELECT line_id, CASE WHEN sizes > 0 THEN degrees(acos(greatest(-1.0, least(1.0, dot / sizes)))) END AS t FROM (SELECT line_id, sqrt((x - px) ** 2 + (y - py) ** 2) * sqrt((nx - x) ** 2 + (ny - y) ** 2) AS sizes, (x - px) * (nx - x) + (y - py) * (ny - y) AS dot
