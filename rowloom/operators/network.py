@@ -247,19 +247,23 @@ def bridge_chains(fragments: DataFrame, tracks: DataFrame, max_gap: float = 3.0,
 
 
 def segment_contacts(segments: DataFrame, cell: float) -> DataFrame:
-    """(line_a, line_b, x, y): points where segments (line_id, x0, y0, x1, y1) of different lines meet.
+    """(line_a, line_b, x, y): points where segments (line_id, x0, y0, x1, y1) of different lines meet; one row without a place
+    for two lines that lie on each other along a stretch.
 
-    Parallel segments give none. A point is rounded to six digits, so that one at a vertex comes once.
+    A point is rounded to six digits, so that one at a vertex comes once.
     """
     b = spatial.boxed(segments.withColumn("id", F.col("line_id")))
-    p = spatial.grid_join(b, b, spatial.BOX, 0.0, cell).where("l.line_id < r.line_id").where(spatial.cross("l", "r"))
+    p = spatial.grid_join(b, b, spatial.BOX, 0.0, cell).where("l.line_id < r.line_id")
     rx, ry = F.col("l.x1") - F.col("l.x0"), F.col("l.y1") - F.col("l.y0")
     sx, sy = F.col("r.x1") - F.col("r.x0"), F.col("r.y1") - F.col("r.y0")
-    t = ((F.col("r.x0") - F.col("l.x0")) * sy - (F.col("r.y0") - F.col("l.y0")) * sx) / (rx * sy - ry * sx)
-    return p.where(rx * sy - ry * sx != 0).select(
-        F.col("l.line_id").alias("line_a"), F.col("r.line_id").alias("line_b"),
-        (F.round(F.col("l.x0") + t * rx, 6) + F.lit(0.0)).alias("x"), (F.round(F.col("l.y0") + t * ry, 6) + F.lit(0.0)).alias("y"),
-    ).distinct()
+    det = rx * sy - ry * sx
+    t = ((F.col("r.x0") - F.col("l.x0")) * sy - (F.col("r.y0") - F.col("l.y0")) * sx) / F.when(det != 0, det)
+    # on one straight line: the part that both cover has a length
+    one = (det == 0) & (rx * (F.col("r.y0") - F.col("l.y0")) - ry * (F.col("r.x0") - F.col("l.x0")) == 0)
+    on = lambda c: rx * (F.col(f"r.x{c}") - F.col("l.x0")) + ry * (F.col(f"r.y{c}") - F.col("l.y0"))
+    shared = one & (F.greatest(F.lit(0.0), F.least(on(0), on(1))) < F.least(rx * rx + ry * ry, F.greatest(on(0), on(1))))
+    place = lambda c, d: F.when(det != 0, F.round(F.col(f"l.{c}0") + t * d, 6) + F.lit(0.0))
+    return p.where(shared | (spatial.cross("l", "r") & (det != 0))).select(F.col("l.line_id").alias("line_a"), F.col("r.line_id").alias("line_b"), place("x", rx).alias("x"), place("y", ry).alias("y")).distinct()
 
 
 def node_degrees(ends: DataFrame) -> DataFrame:

@@ -261,7 +261,8 @@ ORACLES = {
         p AS (SELECT l.line_id AS a, r.line_id AS b, l.x0, l.y0, l.x1 - l.x0 AS rx, l.y1 - l.y0 AS ry, r.x1 - r.x0 AS sx, r.y1 - r.y0 AS sy, r.x0 - l.x0 AS qx, r.y0 - l.y0 AS qy, r.x1 - l.x0 AS ex, r.y1 - l.y0 AS ey, l.x1 AS lx1, l.y1 AS ly1, r.x0 AS cx, r.y0 AS cy
               FROM b l JOIN b r ON l.lane = r.lane AND l.line_id < r.line_id),
         c AS (SELECT *, rx * qy - ry * qx AS d1, rx * ey - ry * ex AS d2, sx * (y0 - cy) - sy * (x0 - cx) AS d3, sx * (ly1 - cy) - sy * (lx1 - cx) AS d4, rx * sy - ry * sx AS det FROM p),
-        k AS (SELECT DISTINCT a, b, round(x0 + (qx * sy - qy * sx) / det * rx, 6) + 0.0 AS x, round(y0 + (qx * sy - qy * sx) / det * ry, 6) + 0.0 AS y FROM c WHERE d1 * d2 <= 0 AND d3 * d4 <= 0 AND (d1 <> 0 OR d2 <> 0) AND det <> 0)
+        k AS (SELECT DISTINCT a, b, round(x0 + (qx * sy - qy * sx) / det * rx, 6) + 0.0 AS x, round(y0 + (qx * sy - qy * sx) / det * ry, 6) + 0.0 AS y FROM c WHERE d1 * d2 <= 0 AND d3 * d4 <= 0 AND (d1 <> 0 OR d2 <> 0) AND det <> 0
+          UNION SELECT a, b, NULL, NULL FROM c WHERE det = 0 AND d1 = 0 AND greatest(0.0, least(rx * qx + ry * qy, rx * ex + ry * ey)) < least(rx * rx + ry * ry, greatest(rx * qx + ry * qy, rx * ex + ry * ey)))
         SELECT (SELECT count(DISTINCT line_id) FROM s) AS n_lines, (SELECT count(*) FROM k) AS n_crossings""",
         "v_polys",
     ),
