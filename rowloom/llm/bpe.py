@@ -24,7 +24,7 @@ from rowloom.sources.tables import table
 NONE = np.int32(2**31 - 1)
 #: Longest pre-token, in bytes, of the matrices, whose time grows with its square: half a second here; distinct
 #: pre-tokens that a worker remembers at most.
-MATRIX_WIDTH, REMEMBERED = 8192, 200_000
+MATRIX_WIDTH, REMEMBERED = 8192, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,39 +90,42 @@ class Vocabulary:
         got[(left < 0) | (right < 0)] = NONE
         return got
 
-    def merge_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        width = max(map(len, pieces))
+    def merge_rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max())
         ids = np.full((len(pieces), width + 1), -1, np.int32)
-        for i, p in enumerate(pieces):
-            ids[i, : len(p)] = self.single[np.frombuffer(p, np.uint8)]
+        ids[np.arange(width + 1) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width)
-        out: list[np.ndarray | None] = [None] * len(pieces)
+        out = np.full((len(pieces), width + 1), -1, np.int32)
         rows = np.arange(len(pieces))
-        while len(rows):
+        while len(rows) and ranks.shape[1]:
             at = ranks.argmin(1)
             best = ranks[np.arange(len(rows)), at]
             done = best == NONE
             if done.any():
-                for i in np.flatnonzero(done):
-                    out[rows[i]] = ids[i][ids[i] >= 0]
+                out[rows[done], : ids.shape[1]] = ids[done]
                 live = ~done
                 ids, ranks, rows, at, best = ids[live], ranks[live], rows[live], at[live], best[live]
                 if not len(rows):
                     break
             n, w = np.arange(len(rows)), ranks.shape[1]
-            cols = np.arange(w)
-            ids = np.take_along_axis(ids, cols + (cols > at[:, None]), 1)
+            kept = np.ones((len(rows), w + 1), bool)  # the gap at the pair's right side closes
+            kept[n, at + 1] = False
+            ids = ids[kept].reshape(len(rows), w)
             ids[n, at] = best
-            ranks = np.take_along_axis(ranks, cols[:-1] + (cols[:-1] > at[:, None]), 1) if w > 1 else ranks[:, :0]
-            if ranks.shape[1] == 0:
-                for i, row in enumerate(rows):
-                    out[row] = ids[i][ids[i] >= 0]
-                break
+            ranks = ranks[kept[:, 1:]].reshape(len(rows), w - 1)
             has = at < w - 1
             ranks[n[has], at[has]] = self._ranks(ids[n[has], at[has]], ids[n[has], at[has] + 1])
             has = at > 0
             ranks[n[has], at[has] - 1] = self._ranks(ids[n[has], at[has] - 1], ids[n[has], at[has]])
-        return out
+        out[rows, : ids.shape[1]] = ids
+        there = out >= 0
+        return out[there], there.sum(1)
+
+    def merge_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
+        flat, counts = self.merge_rows(pieces)
+        return np.split(flat, np.cumsum(counts)[:-1])
 
     def merge_long(self, piece: bytes) -> np.ndarray:
         ids = self.single[np.frombuffer(piece, np.uint8)]
@@ -172,8 +175,9 @@ class Vocabulary:
             end = at
             while end < len(rest) and len(rest[end][0]) <= most and (end - at) * most < 400_000:
                 end += 1
-            for (_, p), ids in zip(rest[at:end], self.merge_matrix([r for r, _ in rest[at:end]]), strict=True):
-                self.known[p] = ids.astype("<u4").tobytes()
+            flat, counts = self.merge_rows([r for r, _ in rest[at:end]])
+            data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            self.known.update((p, data[a:b]) for (_, p), a, b in zip(rest[at:end], [0, *ends], ends, strict=False))
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
