@@ -278,3 +278,13 @@ def cluster_tiles(tiles: DataFrame, seed: int = 42) -> DataFrame:
         return tiles.select("tile_id", F.lit(0).alias("group_id"))
     placed = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(tiles)
     return KMeans(k=k, seed=seed).fit(placed).transform(placed).select("tile_id", F.col("prediction").alias("group_id"))
+
+
+#: Losses that are reported as one minus their mean.
+COEFFICIENTS = ("row_dice", "center_dice", "center_cldice")
+
+
+def evaluation(batches: DataFrame, prefix: str = "val_") -> DataFrame:
+    """One row of the means of batches' losses, Dice and clDice turned to coefficients; no row without batches."""
+    means = batches.agg(F.count(F.lit(1)).alias("_n"), *[(1 - F.avg(c) if c in COEFFICIENTS else F.avg(c)).alias(f"{prefix}{c}") for c in batches.columns])
+    return means.where("_n > 0").drop("_n")

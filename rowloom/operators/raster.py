@@ -292,3 +292,34 @@ def keep_negatives(tiles: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     placed = numbered(others, "_place", F.col("_hard"), F.col("_key"), F.col("tile_id"))
     kept = placed.join(F.broadcast(n), F.lit(True)).where(F.col("_place") < F.col("n"))  # one row
     return tiles.where("sampling_class = 'positive'").unionByName(kept.select(tiles.columns))
+
+
+def _pooled(df: DataFrame, columns: list[str], best) -> DataFrame:
+    """(row, col, columns): the least or largest value of each column among a pixel and its neighbours in df."""
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in [*EIGHT, (0, 0)]])
+    near = df.select("row", "col", *columns, F.explode(steps).alias("o")).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), *columns, (F.col("o.r").eqNullSafe(0) & F.col("o.c").eqNullSafe(0)).alias("own"))
+    return near.groupBy("row", "col").agg(*[best(c).alias(c) for c in columns], F.max("own").alias("own")).where("own").drop("own")
+
+
+def soft_skeletons(df: DataFrame, columns: list[str], rounds: int = 5) -> DataFrame:
+    """(row, col, columns, skeleton_ and each column): what opening takes off values from 0 to 1, over rounds of erosion.
+
+    Pixels that df lacks are outside and count in no neighbourhood.
+    """
+    state = cut(df.select("row", "col", *[F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))).alias(f"_{c}") for c in columns], *[F.col(c) for c in columns], *[F.lit(0.0).alias(f"skeleton_{c}") for c in columns]))
+    work = [f"_{c}" for c in columns]
+    for _ in range(rounds):
+        eroded = cut(_pooled(state, work, F.min))
+        opened = _pooled(eroded, work, F.max).withColumnsRenamed({c: f"{c}_o" for c in work})
+        both = state.join(eroded.withColumnsRenamed({c: f"{c}_e" for c in work}), ["row", "col"]).join(opened, ["row", "col"])
+        taken = {f"skeleton{c}": F.greatest(F.col(f"skeleton{c}"), F.col(c) - F.col(f"{c}_o")) for c in work}
+        state = cut(both.withColumns(taken).withColumns({c: F.col(f"{c}_e") for c in work}).drop(*[f"{c}_{k}" for c in work for k in "eo"]))
+    return state.drop(*work)
+
+
+def soft_cldice(df: DataFrame, rounds: int = 5) -> DataFrame:
+    """One row (precision, recall, loss) of probabilities p and targets y (row, col, p, y) by their soft skeletons."""
+    s = soft_skeletons(df, ["p", "y"], rounds)
+    m = s.agg(F.sum(F.col("skeleton_p") * F.col("y")).alias("a"), F.sum("skeleton_p").alias("b"), F.sum(F.col("skeleton_y") * F.col("p")).alias("c"), F.sum("skeleton_y").alias("d"))
+    m = m.select((F.col("a") / (F.col("b") + 1e-6)).alias("precision"), (F.col("c") / (F.col("d") + 1e-6)).alias("recall"))
+    return m.withColumn("loss", 1 - 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-6))

@@ -129,6 +129,18 @@ def small_components(s: SparkSession, d: str) -> DataFrame:
     return raster.drop_small(mask(s, d, HIGH), 3, 50, width)
 
 
+def soft_cldice(s: SparkSession, d: str) -> DataFrame:
+    """Soft clDice of the raster's values against its bright ones, two rounds."""
+    p = v_pixels(s, d).select("row", "col", "p", (F.col("p") >= 0.6).cast("double").alias("y"))
+    return rounded(raster.soft_cldice(p, 2), "precision", "recall", "loss")
+
+
+def evaluation_means(s: SparkSession, d: str) -> DataFrame:
+    """Means over shipping days as if they were batches."""
+    b = table(s, d, "lineitem").groupBy("l_shipdate").agg(F.avg("l_discount").alias("loss"), F.avg("l_tax").alias("row_dice"), (F.avg("l_quantity") / 100).alias("center_cldice"))
+    return rounded(metrics.evaluation(b.drop("l_shipdate")), "val_loss", "val_row_dice", "val_center_cldice")
+
+
 def mask_agreement(s: SparkSession, d: str) -> DataFrame:
     """clDice of two masks whose every other row stands for their skeletons."""
     a, b = mask(s, d, HIGH), mask(s, d, 0.85)
@@ -144,7 +156,7 @@ def burnt_rows(s: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     provenance_flags, production_gate, schema_union, even_sample, gsd_report, dataset_inspection, bad_values, orientation_losses, early_stopping, tile_names, negative_tiles,
-    file_catalogue, sampled_files, mask_components, mask_branches, morphology_open, directional_close, small_components, mask_agreement, burnt_rows,
+    file_catalogue, sampled_files, mask_components, mask_branches, morphology_open, directional_close, small_components, mask_agreement, soft_cldice, evaluation_means, burnt_rows,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -169,6 +181,19 @@ def _moved(source: str, steps: list[tuple[int, int]], full: bool) -> str:
     return f"SELECT {'' if full else 'DISTINCT '}row + dr AS row, col + dc AS col FROM {source}, (VALUES {every}) st(dr, dc){end}"
 
 
+def _pool(source: str, best: str) -> str:
+    return f"SELECT m.row, m.col, {best}(n.a) AS a, {best}(n.b) AS b FROM {source} m, {_NINE}, {source} n WHERE n.row = m.row + dr AND n.col = m.col + dc GROUP BY m.row, m.col"
+
+
+def _soft(rounds: int) -> str:
+    """DuckDB: s0 .. with a and b eroded and sa and sb, their soft skeletons, after each round."""
+    out = ["s0 AS MATERIALIZED (SELECT row, col, p AS a, (p >= 0.6)::INT::DOUBLE AS b, 0.0::DOUBLE AS sa, 0.0::DOUBLE AS sb FROM v_pixels)"]
+    for k in range(rounds):
+        out.append(f"e{k} AS MATERIALIZED ({_pool(f's{k}', 'min')}), o{k} AS MATERIALIZED ({_pool(f'e{k}', 'max')})")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT s.row, s.col, e.a, e.b, greatest(sa, s.a - o.a) AS sa, greatest(sb, s.b - o.b) AS sb FROM s{k} s JOIN e{k} e ON e.row = s.row AND e.col = s.col JOIN o{k} o ON o.row = s.row AND o.col = s.col)")
+    return ", ".join(out)
+
+
 _LINES = [[(-k * r, -k * c) for k in (-1, 0, 1)] for r, c in ((0, 1), (1, 0), (1, 1), (1, -1))]
 _SQUARE = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 ORACLES = {
@@ -228,6 +253,12 @@ ORACLES = {
         q AS (SELECT pk / (pn + 1e-8) AS p, pk / (tn + 1e-8) AS t FROM m) SELECT {_r('p', 'precision')}, {_r('t', 'recall')}, {_r('2 * p * t / (p + t + 1e-8)', 'cldice')} FROM q""",
         "v_pixels",
     ),
+    "soft_cldice": with_views(
+        f"""WITH {_soft(2)}, m AS (SELECT sum(sa * b0) / (sum(sa) + 1e-6) AS p, sum(sb * a0) / (sum(sb) + 1e-6) AS r FROM s2 JOIN (SELECT row, col, a AS a0, b AS b0 FROM s0) USING (row, col))
+        SELECT {_r('p', 'precision')}, {_r('r', 'recall')}, {_r('1 - 2 * p * r / (p + r + 1e-6)', 'loss')} FROM m""",
+        "v_pixels",
+    ),
+    "evaluation_means": f"""WITH b AS (SELECT avg(l_discount) AS x, avg(l_tax) AS y, avg(l_quantity) / 100 AS z FROM lineitem GROUP BY l_shipdate) SELECT {_r('avg(x)', 'val_loss')}, {_r('1 - avg(y)', 'val_row_dice')}, {_r('1 - avg(z)', 'val_center_cldice')} FROM b""",
     "burnt_rows": with_views(
         f"""WITH c AS (SELECT unnest(range(0, 40))::INT AS col), n AS (SELECT (max(y1) / 2)::INT + 3 AS n FROM v_rows),
         k AS (SELECT v.*, col, col + 0.5::DOUBLE AS px, unnest(range(greatest(0, floor(least(y0, y1) / 2)::INT - 2), floor(greatest(y0, y1) / 2)::INT + 3))::INT AS row FROM v_rows v, c),
