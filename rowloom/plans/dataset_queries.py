@@ -10,7 +10,7 @@ from rowloom.plans.line_queries import _r, rounded
 from rowloom.plans.raster_queries import HIGH, mask
 from rowloom.plans.raster_queries import tile_classes as classes
 from rowloom.plans.raster_queries import ORACLES as RASTER_SQL
-from rowloom.plans.views import v_pixels, v_rows, v_scores, v_tiles, with_views
+from rowloom.plans.views import v_pixels, v_rows, v_tiles, with_views
 from rowloom.sources import vectors
 from rowloom.sources.tables import table
 
