@@ -160,6 +160,11 @@ def ridge_shift(s: SparkSession, d: str) -> DataFrame:
     return rounded(got.join(even, ["line_id", "pos"]).groupBy("line_id").agg(F.max(F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey"))).alias("shift")), "shift")
 
 
+def faired_centerlines(s: SparkSession, d: str) -> DataFrame:
+    """Which form of each order's line is the best safe one."""
+    return rounded(repair.fair_centerlines(small(s, d), 0.05)[1], "shift", "score_before", "score_after")
+
+
 def roi_diagnostics(s: SparkSession, d: str) -> DataFrame:
     m = mask(s, d, HIGH)
     got = inputs.diagnostics(v_pixels(s, d), raster.close(m), raster.thinned(raster.close(m)), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), LOW, HIGH)
@@ -174,7 +179,7 @@ def postprocessed_lines(s: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     pixel_values, turned_average, line_tiles, distinct_geometries, pruned_spurs, merged_pieces, stretches, run_ids, raw_contract, gap_candidates, topology_report, network_overview,
-    cleared_junctions, track_merges, fair_lines, adaptive_points, twice_smoothed, mended_tracks, ridge_shift, roi_diagnostics, postprocessed_lines,
+    cleared_junctions, track_merges, fair_lines, adaptive_points, twice_smoothed, mended_tracks, ridge_shift, faired_centerlines, roi_diagnostics, postprocessed_lines,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
