@@ -55,7 +55,7 @@ def _block(at: str, size: int) -> Column:
     return F.floor(F.col(at) / size).cast("int")
 
 
-def pixel_components(mask: DataFrame, block: int = 1024) -> DataFrame:
+def pixel_components(mask: DataFrame, block: int = 2048) -> DataFrame:
     """(row, col, root, and the other columns of mask): 8-connected components, named by their smallest pixel.
 
     Blocks are labelled by themselves; then only labels that touch across a block's edge are joined, so

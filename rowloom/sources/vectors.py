@@ -79,7 +79,11 @@ def resolve_layer(layers: list[str], wanted: str | None) -> str:
     return found[0]
 
 
-def read_first(spark: SparkSession, folder: str, names: tuple[str, ...] = ("post_inference_lines", "predicted_rows")) -> tuple[str, DataFrame]:
+#: The layers that hold raw lines, the current name first.
+RAW_LAYERS = ("post_inference_lines", "predicted_rows")
+
+
+def read_first(spark: SparkSession, folder: str, names: tuple[str, ...] = RAW_LAYERS) -> tuple[str, DataFrame]:
     """The first of the named Parquet layers that the folder holds, and its rows; raises if it holds none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
