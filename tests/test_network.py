@@ -140,3 +140,12 @@ def test_utm(spark):
 
     df = spark.createDataFrame([(-0.1, 51.5), (-46.6, -23.5)], "lon double, lat double")
     assert [r.e for r in df.select(utm_epsg(F.col("lon"), F.col("lat")).alias("e")).collect()] == [32630, 32723]
+
+
+def test_rows_of_cells_are_not_broadcast(spark):
+    # Spark sizes both sides by the tables they come from, not by the cells that rows are dealt to
+    r = spark.range(1000).selectExpr("id", "0.0D AS x0", "id * 2.0D AS y0", "400.0D AS x1", "id * 2.0D AS y1")
+    p = spatial.near_pairs(r, 1.0, cell=1.0)
+    assert "BroadcastHashJoin" not in p._jdf.queryExecution().executedPlan().toString()
+    links = spark.range(50).selectExpr("id AS i", "id + 1 AS j")
+    assert graph.greedy_matching(links, F.col("i")).count() == 25
