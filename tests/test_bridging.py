@@ -184,3 +184,10 @@ def test_contacts_self_contacts_and_ignored(spark):
     ignored = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 1)], "line_id long, other long")
     assert sorted(r.line_id for r in polylines.crosses_others(v, v, ignored).collect()) == [3, 4]
     assert sorted(r.line_id for r in polylines.crosses_others(v, v, ignored, clearance=1.5).collect()) == [2, 3, 4]
+
+
+def test_the_query_gives_every_candidate(spark):
+    from rowloom.plans import finishing_queries
+
+    found = finishing_queries.gap_candidates(spark, "/root/testdata/sf0.001")
+    assert "GlobalLimit" not in found._jdf.queryExecution().optimizedPlan().toString()
