@@ -31,7 +31,8 @@ def shapes(v: DataFrame) -> DataFrame:
 
 
 def _boxes(s: DataFrame) -> DataFrame:
-    return spatial.boxed(s.select(F.col("line_id").alias("id"), "pos", "x0", "y0", "x1", "y1", "d0"))
+    """Segments with no more than their line's number, ends and boxes: a grid join sends each column to every cell."""
+    return spatial.boxed(s.select(F.col("line_id").alias("id"), "x0", "y0", "x1", "y1")).drop("length")
 
 
 def near_lines(v: DataFrame, radius: float, cell: float, others: DataFrame | None = None) -> DataFrame:
