@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators import graph, metrics, network, products, raster, spatial
@@ -180,3 +181,25 @@ def test_distances_of_rows_are_roots_of_squares(spark):
     for m in got:
         p, q = rows[m.i], rows[m.j]
         assert m.distance == (median(p, q) if size[m.i] <= size[m.j] else median(q, p))
+
+
+def test_nearest_of_far_points_meets_few(spark):
+    """A far point's cells are parted down to the first radius: it keeps a few cells of a long column, not those of its distance."""
+    right = spark.range(4000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "id * 0.9D AS y")
+    left = spark.createDataFrame([(k, 40.0 * 3**k, 37.0 * k) for k in range(3)], "id long, x double, y double")
+    places = [(r.id, r.x, r.y) for r in right.collect()]
+    want = {p.id: min((math.hypot(p.x - x, p.y - y), i) for i, x, y in places) for p in left.collect()}
+    got = {r.id: (r.d, r.other) for r in spatial.nearest(left, right, 4.0).collect()}
+    assert {i: o for i, (_, o) in got.items()} == {i: o for i, (_, o) in want.items()}
+    assert [got[i][0] for i in sorted(got)] == pytest.approx([want[i][0] for i in sorted(want)])
+    point = left.where("id = 2").selectExpr("id", "x", "y", "0L AS cx", "0L AS cy")
+    wide = spatial._within(point, right, 1024.0, 16384.0)
+    parted = spatial._within(wide.withColumnsRenamed({"fx": "cx", "fy": "cy"}), right, 64.0, 16384.0)
+    assert 0 < parted.count() * 64 < wide.count() * 1024
+
+
+def test_orientation_transfer_does_not_broadcast_rows(spark):
+    from rowloom.plans import raster_queries
+
+    got = raster_queries.pixel_orientation_transfer(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
