@@ -102,6 +102,14 @@ def test_the_whole_way(result):
     assert (gate.final_line_count, gate.rejected_count, gate.crossing_count, gate.production_gate_reasons, gate.status) == (3, 2, 2, "unmatched_lines;crossings", "manual_review")
 
 
+def test_lines_of_a_track_are_bridged_on_the_whole_way(spark):
+    wave = lambda a, b, y: [(x, y + 0.02 * (x % 2)) for x in range(a, b)]
+    got = postprocess.run(raw_lines(spark, {1: wave(0, 8, 0), 2: wave(10, 18, 0), 3: wave(0, 18, 0.8), 4: wave(0, 5, 9)}), settings=postprocess.Settings(estimate_spacing=False))
+    final = {r.line_id: r for r in got.final.collect()}
+    assert sorted(final) == [1, 3, 4] and abs(final[1].length_m - 17) < 0.02 and final[1].pair_id == final[3].pair_id
+    assert {i: (r.source_raw_ids, r.bridged_fragments) for i, r in final.items()} == {1: ('["raw_1","raw_2"]', 2), 3: ('["raw_3"]', 1), 4: ('["raw_4"]', 1)}
+
+
 def test_an_empty_network(spark):
     got = postprocess.run(raw_lines(spark, FIELD).limit(0))
     assert got.final.count() == 0 and got.gate.first().production_gate_passed
