@@ -7,6 +7,11 @@ gathered with its neighbours in one task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -340,11 +345,61 @@ def spacing_to(v: DataFrame, other: DataFrame, targets: DataFrame, spacing: floa
     return against(points, targets, other).groupBy("p").agg(F.median("d").alias("distance"))
 
 
+def farthest_sample(p: np.ndarray, targets: np.ndarray, spacing: float, few: int = 4096) -> float:
+    """The largest distance of the even samples of a line (as lines.resample makes them) from the nearest of targets, segments (x0, y0, x1, y1); nan without samples.
+
+    From sample to sample the distance changes by no more than their gap, so of many samples only those are
+    asked that may lie further off than the furthest so far: stretches are halved until none may.
+    """
+    steps = np.hypot(*np.diff(p, axis=0).T)
+    ends = np.concatenate(([0.0], np.cumsum(steps)))
+    long = np.flatnonzero(ends[1:] > ends[:-1])
+    if not len(long) or not len(targets):
+        return math.nan
+    n = max(2, math.ceil(ends[-1] / spacing) + 1)
+    gap = ends[-1] / (n - 1)
+    first = np.ceil(ends[long] / gap)
+
+    def apart(k: np.ndarray) -> np.ndarray:
+        i = long[np.searchsorted(first, k, "right") - 1]
+        t = np.clip((k * gap - ends[i]) / (ends[i + 1] - ends[i]), 0, 1)
+        q = p[i] + t[:, None] * (p[i + 1] - p[i])
+        most = max(1, (1 << 20) // len(targets))
+        return np.concatenate([spatial._apart(q[j : j + most, :1], q[j : j + most, 1:], *targets.T).min(1) for j in range(0, len(q), most)])
+
+    k = np.unique(np.linspace(0, n - 1, min(n, few)).astype(np.int64))
+    d = apart(k)
+    best = d.max()
+    lo, hi, dlo, dhi = k[:-1], k[1:], d[:-1], d[1:]
+    while True:
+        open_ = (hi - lo > 1) & ((dlo + dhi + (hi - lo) * gap) / 2 > best)
+        if not open_.any():
+            return float(best)
+        lo, hi, dlo, dhi = lo[open_], hi[open_], dlo[open_], dhi[open_]
+        middle = (lo + hi) // 2
+        d = apart(middle)
+        best = max(best, d.max())
+        lo, hi, dlo, dhi = np.concatenate((lo, middle)), np.concatenate((middle, hi)), np.concatenate((dlo, d)), np.concatenate((d, dhi))
+
+
 def displacement(lineage: DataFrame, final: DataFrame, raw: DataFrame, spacing: float = 0.10) -> DataFrame:
-    """(line_id, displacement): the largest distance of even samples of a final line from the raw lines that lineage (line_id, raw_id) names."""
-    points = lines.resample(final, spacing).select("line_id", F.col("k").cast("long").alias("k"), "x", "y")
-    d = against(points, lineage.select(F.col("line_id").alias("p"), F.col("raw_id").alias("t")), raw)
-    return d.groupBy("p", "k").agg(F.min("d").alias("d")).groupBy(F.col("p").alias("line_id")).agg(F.max("d").alias("displacement"))
+    """(line_id, displacement): the largest distance of even samples of a final line from the raw lines that lineage (line_id, raw_id) names.
+
+    A line's vertices and its raw lines' segments are one numpy group; its samples never leave the task (farthest_sample).
+    """
+    own = final.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
+    s = lines.segments(raw).select(F.col("line_id").alias("raw_id"), "x0", "y0", "x1", "y1")
+    ends = ("x0", "y0", "x1", "y1")
+    beside = lineage.select("line_id", "raw_id").join(dealt(s), "raw_id").groupBy("line_id").agg(F.collect_list(F.struct(*ends)).alias("s"))
+    both = own.join(dealt(beside), "line_id").select("line_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), *[F.col(f"s.{c}").alias(c) for c in ends])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            d = [farthest_sample(np.column_stack(r[:2]), np.column_stack(r[2:]), spacing) for r in zip(*[f[c] for c in ("x", "y", *ends)], strict=True)]
+            got = pd.DataFrame({"line_id": f["line_id"], "displacement": np.round(d, 12)})
+            yield got[got["displacement"].notna()]
+
+    return both.mapInPandas(run, "line_id long, displacement double")
 
 
 def attach_lineage(cleaned: DataFrame, raw: DataFrame, tolerance: float, cell: float = 8.0) -> DataFrame:
